@@ -43,22 +43,27 @@ def lines(text: Column) -> Column:
 
 def brand_line(cleaned: Column) -> Column:
     """First line of three or more characters with none of the excluded phrases."""
-    pattern = rf"(?imuU)^(?![^\n]*(?:{_either(NOT_BRAND_PHRASES)}))[^\n]{{3,}}$"
+    pattern = rf"(?imU)^(?![^\n]*(?:{_either(NOT_BRAND_PHRASES)}))[^\n]{{3,}}$"
     return F.regexp_extract(cleaned, pattern, 0)
 
 
+def _first_line_with(cleaned: Column, words) -> Column:
+    """The line anchor keeps the search linear: without it every offset of a long line would
+    be tried as a start."""
+    return F.regexp_extract(cleaned, rf"(?imU)^[^\n]*?(?:{_either(words)})[^\n]*", 0)
+
+
 def class_line(cleaned: Column) -> Column:
     """First line with a class keyword anywhere in it, inside words too."""
-    return F.regexp_extract(cleaned, rf"(?iuU)[^\n]*(?:{_either(CLASS_KEYWORDS)})[^\n]*", 0)
+    return _first_line_with(cleaned, CLASS_KEYWORDS)
 
 
 def producer_line(cleaned: Column) -> Column:
-    return F.regexp_extract(
-        cleaned, rf"(?iuU)[^\n]*(?:{_either(EXTRACT_PRODUCER_PHRASES)})[^\n]*", 0)
+    return _first_line_with(cleaned, EXTRACT_PRODUCER_PHRASES)
 
 
 def country_of_line(cleaned: Column) -> Column:
-    pattern = rf"(?iuU)(?:{_either(EXTRACT_COUNTRY_PHRASES)}) *:? *([^\n]+)"
+    pattern = rf"(?iU)(?:{_either(EXTRACT_COUNTRY_PHRASES)}) *:? *([^\n]+)"
     return F.trim(F.regexp_extract(cleaned, pattern, 1))
 
 
@@ -75,11 +80,17 @@ def net_contents(text: Column) -> Column:
         F.concat_ws(" ", amount, collapse_spaces(unit)))
 
 
-def government_warning(text: Column) -> Column:
-    """The standard text when it is there in any case, else from the prefix to the end."""
-    flat = collapse_spaces(text)
-    return F.when(F.contains(F.upper(flat), F.lit(WARNING_TEXT.upper())), WARNING_TEXT).otherwise(
-        F.trim(F.regexp_extract(flat, ANY_CASE + EXTRACT_WARNING_PATTERN, 1)))
+def government_warning(flat: Column) -> Column:
+    """The standard text when it is there in any case, else from the prefix to the end.
+
+    ``flat`` is single-spaced text, so a plain containment test spares the regular expression
+    wherever there is no prefix.
+    """
+    upper = F.upper(flat)
+    return (
+        F.when(~F.contains(upper, F.lit("GOVERNMENT WARNING")), "")
+        .when(F.contains(upper, F.lit(WARNING_TEXT.upper())), WARNING_TEXT)
+        .otherwise(F.trim(F.regexp_extract(flat, ANY_CASE + EXTRACT_WARNING_PATTERN, 1))))
 
 
 def extracted_fields(text: Column, cleaned: Column | None = None) -> Column:
@@ -92,7 +103,7 @@ def extracted_fields(text: Column, cleaned: Column | None = None) -> Column:
         net_contents(text).alias("net_contents"),
         producer_line(cleaned).alias("producer_bottler"),
         country_of_line(cleaned).alias("country_of_origin"),
-        government_warning(text).alias("government_warning"),
+        government_warning(F.translate(cleaned, "\n", " ")).alias("government_warning"),
     )
 
 

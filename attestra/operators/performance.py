@@ -68,6 +68,8 @@ def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
     """
     sla = options.sla()
     seconds = _clamped(F.col("processing_seconds"))
+    if approximate and weight:
+        raise ValueError("Weighted timings have exact percentiles only.")
     times = F.lit(1) if weight is None else F.col(weight)
     rows = timings.select(*by, seconds.alias("s"), times.cast("bigint").alias("w"))
     if approximate:

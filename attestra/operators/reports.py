@@ -107,8 +107,11 @@ def dashboard(reports: DataFrame, timing_summary: DataFrame) -> DataFrame:
 def status_counts(reports: DataFrame) -> DataFrame:
     """Results per status and label, without moving rows."""
     results = F.col("results")
-    counts = [
-        F.size(F.filter(results, lambda r, s=s: r["status"] == s)).alias(s) for s in STATUSES]
+
+    def count(status):
+        return F.size(F.filter(results, lambda r: r["status"] == status)).alias(status)
+
+    counts = [count(s) for s in STATUSES]
     return reports.select(F.col("file_name").alias("File Name"), *counts,
                           overall_status(results).alias(OVERALL_FIELD))
 
