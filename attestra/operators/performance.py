@@ -19,6 +19,11 @@ def _fixed(value: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", value)
 
 
+def _rounded(name: str, digits: int) -> Column:
+    """Rounded twice, so that the last bits of an interpolation do not decide a tie."""
+    return F.round(F.round(name, 9), digits).alias(name)
+
+
 def _clamped(seconds: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(seconds.cast("double"), F.lit(0.0)))
 
@@ -187,13 +192,13 @@ def batch_acceptance(summary: DataFrame, options: SlaOptions = SlaOptions(),
     return judged.select(
         *by, total.alias("processed_files"), F.lit(options.min_files).alias("minimum_files"),
         F.lit(options.max_files).alias("maximum_files"),
-        F.round("average_seconds", 3).alias("average_seconds"),
-        F.round("median_seconds", 3).alias("median_seconds"),
-        F.round("p95_seconds", 3).alias("p95_seconds"),
-        F.round("maximum_seconds", 3).alias("maximum_seconds"),
-        F.round("sla_seconds", 3).alias("sla_seconds"),
+        _rounded("average_seconds", 3),
+        _rounded("median_seconds", 3),
+        _rounded("p95_seconds", 3),
+        _rounded("maximum_seconds", 3),
+        _rounded("sla_seconds", 3),
         c("sla_breach_count").alias("sla_breaches"),
-        F.round("sla_breach_rate", 4).alias("sla_breach_rate"),
+        _rounded("sla_breach_rate", 4),
         throughput(total, c("total_seconds")).alias("throughput_per_minute"),
         "sla_acceptance", "batch_size_acceptance", "overall_acceptance",
         message.alias("acceptance_message"))

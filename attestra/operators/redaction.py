@@ -149,8 +149,9 @@ def retained(log: DataFrame, as_of: dt.datetime, days: int = 7,
              column: str = "created_on") -> DataFrame:
     """Rows no older than ``days`` before ``as_of``; zero or fewer days keep everything.
 
-    The cutoff is a literal, so it reaches the scan and prunes date partitions.
+    The cutoff is a literal of the column's own type, so the filter reaches the scan.
     """
     if days <= 0:
         return log
-    return log.where(F.col(column) >= F.lit(as_of - dt.timedelta(days=days)))
+    cutoff = (as_of - dt.timedelta(days=days)).isoformat(sep=" ")
+    return log.where(F.col(column) >= F.lit(cutoff).cast(log.schema[column].dataType))

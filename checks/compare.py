@@ -62,6 +62,10 @@ def main() -> int:
         try:
             cursor = duck.execute(SQL[name])
             columns = [d[0] for d in cursor.description]
+            odd = [d[0] for d in cursor.description
+                   if "DECIMAL" in str(d[1]).upper() or "HUGEINT" in str(d[1]).upper()]
+            if odd:
+                print("   decimal or huge columns in SQL:", name, odd)
             want = rows_of(columns, cursor.fetchall())
         except Exception as error:
             bad.append(name)

@@ -24,7 +24,7 @@ select p_partkey as k,
        upper(p_name) as root,
        p_type || case when p_partkey % 8 + 1 = 7 then ' Irish Whiskey'
                       else ' Bourbon Whiskey' end as class_type,
-       40.0 + p_partkey % 8 + (p_partkey % 4) * 0.5 as base_abv,
+       cast(40.0 + p_partkey % 8 + (p_partkey % 4) * 0.5 as double) as base_abv,
        case when n_nationkey % 2 = 0 then 'Ireland' else n_name end as country
 from part join nation on n_nationkey = p_partkey % 25
 """
@@ -36,7 +36,7 @@ expected as (
          'label_' || lpad(cast(k as string), 9, '0') || '.png' as file_name,
          root || case when scenario = 2 then '''S DISTILLING' else ' DISTILLING' end as brand_name,
          case when variant = 6 then 'Wine' else 'Distilled Spirits' end as beverage_type,
-         case when variant = 4 then 0.0 else cast(base_abv as double) end as alcohol_content,
+         case when variant = 4 then cast(0 as double) else base_abv end as alcohol_content,
          case when variant = 5 then '12 fl. oz.' when scenario = 7 then '700 mL'
               else '750 mL' end as net_contents,
          root || ' Beverage Company LLC, Washington, DC' as producer_bottler,
@@ -46,7 +46,7 @@ expected as (
 lines as (
   select *,
          root || case when scenario = 2 then 'S DISTILLING' else ' DISTILLING' end as l_brand,
-         case when variant = 4 then 0.0 when scenario = 3 then greatest(35.0, alcohol_content - 5.0)
+         case when variant = 4 then cast(0 as double) when scenario = 3 then greatest(35.0, alcohol_content - 5.0)
               else alcohol_content end as l_abv,
          case when scenario = 4 then ''
               when variant = 1 then replace('{_WARNING_SQL}', 'GOVERNMENT WARNING', 'Government Warning')
@@ -79,7 +79,7 @@ select k as row_id, scenario, variant, wording, file_name, brand_name, class_typ
        case when scenario = 5 then 'Image may have low contrast.'
             when scenario = 6 then 'Image may be skewed by approximately 3.0 degrees.'
             else '' end as quality_note,
-       (k % 13) * 0.6 as ocr_seconds
+       cast((k % 13) * 0.6 as double) as ocr_seconds
 from abv
 """
 

@@ -166,7 +166,7 @@ select file_name, 'ocr_text_extraction' as rule_id, 'Extracted Label Text' as fi
   'Readable label text from uploaded artwork' as expected,
   'No readable OCR text was extracted' as observed,
   'The uploaded label could not be read reliably by OCR. The label should be reviewed manually or resubmitted with clearer artwork.' as message,
-  true as requires_human_review, 0.0 as confidence, quality_note as evidence
+  true as requires_human_review, 0.0::double as confidence, quality_note as evidence
 from fx where raw_text = ''"""
 RULE_ORDER = {r: i for i, r in enumerate(RULES)}
 
