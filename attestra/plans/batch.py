@@ -41,12 +41,13 @@ def matched_labels(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     records = matching.last_records(manifest).drop("row_id", "file_name")
     winners = matching.last_uploads(texts).select("key", "upload_row")
     matched = records.join(winners, "key").drop("key")
-    # The join needs this shuffle anyway. Naming its partition count keeps adaptive execution
-    # from merging partitions that are small in bytes but heavy to verify.
+    # The join needs this shuffle anyway. Naming its partition count and asking for a merge join
+    # keep adaptive execution from merging partitions that are small in bytes but heavy to
+    # verify, and from broadcasting texts.
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = texts.withColumnRenamed("row_id", "upload_row").repartition(
         partitions, "upload_row")
-    return spread.join(matched, "upload_row")
+    return spread.join(matched.hint("merge"), "upload_row")
 
 
 def missing_reports(manifest: DataFrame, texts: DataFrame,

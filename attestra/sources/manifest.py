@@ -10,6 +10,10 @@ from attestra.constants import (
 )
 from attestra.functions.text import strip
 
+# Code page 1252 equals Latin-1 but for these byte values; Spark reads only the latter.
+_C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_C1_LATIN = "".join(map(chr, _C1))
+_C1_WINDOWS = bytes(_C1).decode("cp1252")
 _BY_ALIAS = {alias: name for name, aliases in HEADER_ALIASES.items() for alias in aliases}
 
 
@@ -44,7 +48,13 @@ def read_manifest_csv(spark: SparkSession, paths: str | list[str],
     for encoding, files in sorted(by_encoding.items()):
         frame = spark.read.csv(
             sorted(files), header=True, inferSchema=False, multiLine=multi_line, quote='"',
-            escape='"', encoding=encoding, enforceSchema=False)
+            escape='"', encoding="UTF-8" if encoding == "UTF-8" else "ISO-8859-1",
+            enforceSchema=False)
+        if encoding == "windows-1252":
+            swap = str.maketrans(_C1_LATIN, _C1_WINDOWS)
+            frame = frame.select(*[
+                F.translate(F.col(f"`{c}`"), _C1_LATIN, _C1_WINDOWS).alias(c.translate(swap))
+                for c in frame.columns])
         frames.append(canonical_columns(frame))
     if not frames:
         return spark.createDataFrame([], "row_id bigint")
