@@ -6,7 +6,9 @@ on one batch or, with ``by``, on many at once in a single aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.constants import (
@@ -62,47 +64,98 @@ def performance_table(timings: DataFrame, options: SlaOptions = SlaOptions()) ->
         F.col("performance_message").alias("Performance Message"), *stamps)
 
 
+PERCENTS = (0.5, 0.9, 0.95)
+_GRID = 1000  # buckets per second
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Null-safe key equality: a missing batch id is a batch of its own."""
+    return reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in names])
+
+
+def exact_percentiles(values: DataFrame, by: list[str]) -> DataFrame:
+    """Interpolated percentiles of distinct timings ``s`` that occur ``w`` times, with their
+    grid ``bucket``.
+
+    One batch may hold most rows, so its values never gather in one task. Counting on a fixed
+    millisecond grid finds the buckets that hold the wanted ranks; only their distinct values,
+    already counted, are then put in order.
+    """
+    c = F.col
+    grid = values.groupBy(*by, "bucket").agg(F.sum("w").alias("w"))
+    batch = Window.partitionBy(*by)
+    placed = grid.withColumns({
+        "last": F.sum("w").over(batch.orderBy("bucket")), "n": F.sum("w").over(batch)})
+    places = [(c("n") - 1) * F.lit(p) for p in PERCENTS]
+    ranks = []
+    for place in places:
+        low = F.floor(place).cast("bigint")
+        ranks += [low, F.least(low + 1, c("n") - 1)]
+    first = c("last") - c("w")
+    hits = F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= first) & (r < c("last")))
+    wanted = placed.select(*by, "bucket", "n", first.alias("first"), hits.alias("hits")).where(
+        F.size("hits") > 0)
+
+    inside = Window.partitionBy(*by, "bucket").orderBy("s")
+    right = wanted.select(*[c(k).alias(f"_{k}") for k in by], c("bucket").alias("_bucket"),
+                          "n", "first", "hits")
+    keys = reduce(lambda x, y: x & y, [c(k).eqNullSafe(c(f"_{k}")) for k in by],
+                  c("bucket") == c("_bucket"))
+    ordered = values.join(right, keys).withColumn("upto", F.sum("w").over(inside))
+    found = ordered.select(
+        *by, "n", "s", (c("first") + c("upto") - c("w")).alias("lo"),
+        (c("first") + c("upto")).alias("hi"))
+    # A value covers the ranks lo <= r < hi.
+    at = [F.max(F.when((r >= c("lo")) & (r < c("hi")), c("s"))) for r in ranks]
+    picked = found.groupBy(*by).agg(F.first("n").alias("n"),
+                                    *[v.alias(f"r{i}") for i, v in enumerate(at)])
+
+    def blend(i, place):
+        low, high = c(f"r{2 * i}"), c(f"r{2 * i + 1}")
+        return (low + (high - low) * (place - F.floor(place))).alias(f"q{i}")
+
+    return picked.select(*by, *[blend(i, p) for i, p in enumerate(places)])
+
+
 def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
-                   by: tuple[str, ...] = (), approximate: int | None = None,
-                   weight: str | None = None) -> DataFrame:
+                   by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Counts, moments and interpolated percentiles, one row per batch.
 
-    Percentiles are exact. A batch with very many distinct timings can ask for
-    ``approximate=<accuracy>``, which keeps a bounded sketch instead. ``weight`` names a
-    column that says how often a timing counts.
+    ``weight`` names a column that says how often a timing counts. Without ``by`` there is
+    one row, also for no timings at all.
     """
     sla = options.sla()
-    seconds = _clamped(F.col("processing_seconds"))
-    if approximate and weight:
-        raise ValueError("Weighted timings have exact percentiles only.")
     times = F.lit(1) if weight is None else F.col(weight)
-    rows = timings.select(*by, seconds.alias("s"), times.cast("bigint").alias("w"))
-    if approximate:
-        quantiles = F.percentile_approx("s", [0.5, 0.9, 0.95], approximate)
-    else:
-        quantiles = F.percentile("s", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)), F.col("w"))
-    zero = F.lit(0.0)
-    none = F.lit(0).cast("bigint")
-    summed = rows.groupBy(*by).agg(
-        F.coalesce(F.sum("w"), none).alias("total_files"),
+    keys = list(by) or ["_all"]
+    source = timings if by else timings.withColumn("_all", F.lit(1))
+    rows = source.select(*keys, _clamped(F.col("processing_seconds")).alias("s"),
+                         times.cast("bigint").alias("w"))
+    # Everything below reads this one aggregation; its shuffle is planned once and reused.
+    bucket = F.floor(F.col("s") * _GRID).cast("bigint")
+    values = rows.groupBy(*keys, bucket.alias("bucket"), "s").agg(F.sum("w").alias("w"))
+    zero, none = F.lit(0.0), F.lit(0).cast("bigint")
+    measures = [
+        F.coalesce(F.sum("w"), none).alias("n"),
         F.coalesce(F.sum(F.col("s") * F.col("w")), zero).alias("total_seconds"),
         F.coalesce(F.max("s"), zero).alias("maximum_seconds"),
         F.coalesce(F.min("s"), zero).alias("minimum_seconds"),
-        quantiles.alias("q"),
         F.coalesce(F.sum(F.when(F.col("s") <= sla, F.col("w"))), none)
-        .alias("within_sla_count"))
-
-    def quantile(i):
-        return F.coalesce(F.get("q", F.lit(i)), zero)
-
-    total = F.col("total_files")
+        .alias("within_sla_count")]
+    # A global aggregate gives its row for an empty table too.
+    summed = values.groupBy(*by).agg(*measures) if by else values.agg(*measures).withColumn(
+        "_all", F.lit(1))
+    quantiles = exact_percentiles(values, keys)
+    joined = summed.join(quantiles, _same(summed, quantiles, keys), "left").select(
+        summed["*"], *[quantiles[f"q{i}"] for i in range(len(PERCENTS))])
+    total = F.col("n")
     breaches = total - F.col("within_sla_count")
-    return summed.select(
-        *by, "total_files",
+    half, ninety, high = (F.coalesce(f"q{i}", zero) for i in range(3))
+    return joined.select(
+        *by, total.alias("total_files"),
         F.when(total > 0, F.col("total_seconds") / total).otherwise(0.0)
         .alias("average_seconds"), "maximum_seconds", "minimum_seconds",
-        quantile(0).alias("median_seconds"), quantile(0).alias("p50_seconds"),
-        quantile(1).alias("p90_seconds"), quantile(2).alias("p95_seconds"),
+        half.alias("median_seconds"), half.alias("p50_seconds"),
+        ninety.alias("p90_seconds"), high.alias("p95_seconds"),
         "within_sla_count", breaches.alias("sla_breach_count"),
         F.when(total > 0, breaches / total).otherwise(0.0).alias("sla_breach_rate"),
         F.lit(sla).alias("sla_seconds"), "total_seconds")

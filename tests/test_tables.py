@@ -131,3 +131,16 @@ def test_diagnostics_without_text(spark):
     assert [r["Diagnostic"] for r in rows][3:] == ["Image Quality Note 1", "Image Quality Note 2"]
     assert rows[1]["Value"] == "Not reported" and rows[2]["Value"] == "1.235"
     assert rows[0]["Reviewer Guidance"].startswith("Request clearer artwork")
+
+
+def test_summary_of_skewed_and_unnamed_batches(spark):
+    rnd = np.random.RandomState(5)
+    rows = [("hot" if i % 3 else None, float(v)) for i, v in enumerate(rnd.gamma(2.0, 2.0, 3000))]
+    rows += [("flat", 4.25)] * 500
+    df = spark.createDataFrame(rows, "batch string, processing_seconds double")
+    got = {r["batch"]: r for r in performance.timing_summary(df, by=("batch",)).collect()}
+    assert set(got) == {"hot", None, "flat"}
+    for name, row in got.items():
+        values = [v for b, v in rows if b == name]
+        for column, q in (("median_seconds", 50), ("p90_seconds", 90), ("p95_seconds", 95)):
+            assert row[column] == pytest.approx(np.percentile(values, q))
