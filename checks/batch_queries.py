@@ -332,8 +332,8 @@ def manual_text_labels(spark, sf):
         "notes", F.array_join("image_quality_notes", "; ")).drop("image_quality_notes")
 
 
-# --- timings: events carry seconds, one batch per user. Sevenths never fall on a rounding tie,
-# where the two engines' interpolation may differ in the last bit. --
+# --- timings: events carry seconds, one batch per user. Sevenths make rounding ties rare; the
+# ones interpolation still produces are settled by the rounding in batch_acceptance. --
 
 
 def _timings(spark, sf):
