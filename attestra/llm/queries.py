@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import mixing, packing
+from attestra.llm import licenses, mixing, ngram_join, packing, token_counts, url_filters
 from attestra.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,77 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), mixing.word_count(F.col("text")))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
+#: Rules of the URL query: verdict, host, path prefix (fixed values).
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+#: The listed URLs are the canonical ones of pages whose host has one of these as a part.
+LISTED_HOST_PARTS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    host, path = url_filters.url_host(F.col("url")), url_filters.url_path(F.col("url"))
+    listed = pages.where(F.arrays_overlap(
+        F.split(host, r"[.-]"), F.array(*map(F.lit, LISTED_HOST_PARTS)))).select(
+        url_filters.canonical(host, path).alias("url")).distinct()
+    return url_filters.judge_urls(pages, rules, listed)
+
+
+_LISTED = "|".join(LISTED_HOST_PARTS)
+SQL["op8_url_filters"] = f"""
+with urls as (
+  select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') h,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path
+  from pages),
+parts as (
+  select page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host
+  from urls),
+canon as (
+  select *, regexp_replace(host, '^www\\.|:(80|443)$', '', 'g')
+            || regexp_replace(path, '(/index)?(\\.html?)?/*$', '') as url from parts),
+listed as (
+  select distinct url from canon where url <> '' and regexp_matches(host, '(^|[.-])({_LISTED})([.-]|$)')),
+rules(verdict, rh, rp) as (values {', '.join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
+fits as (
+  select page_id, host, path, rh || rp as rule, verdict,
+         row_number() over (partition by page_id, host, path order by length(rh || rp) desc) as k
+  from parts join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+select c.page_id, c.host, c.path, f.rule,
+       coalesce(f.verdict, case when l.url is not null then 'block' else 'allow' end) as verdict,
+       l.url is not null as listed
+from canon c left join fits f on f.page_id = c.page_id and f.host = c.host and f.path = c.path and f.k = 1
+left join listed l on l.url = c.url"""
+
+
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct("words.label"))
+    every = F.array_sort(F.array_union(base, "spans.label"))
+    least = F.array_min(F.transform("spans", lambda s: s["edits"].cast("double") / (F.length(s["found"]) + 1)))
+    return found.select(
+        "doc_id", "n_words", F.size("words").cast("long").alias("n_base"),
+        F.array_min("words.word").alias("first_word"), F.array_max("words.word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.when(F.size("words") > 0, F.lit(1.0)).when(F.size("spans") > 0, 1.0 - least)
+        .otherwise(F.lit(0.0)).alias("score"), "spans")
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
