@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import licenses, mixing, ngram_join, packing, token_counts, url_filters
+from attestra.llm import licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filters
 from attestra.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,16 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> tuple[list, list[str]]:
+    """The fitted chain of the two labelled categories: junk (quality 0), then toxic."""
+    categories = {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity.train(docs, labels, categories), list(categories)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain, names = toxicity_chain(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain, names).withColumn("toxic", F.col("p_toxic") >= 0.5)
