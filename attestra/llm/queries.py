@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filters
+from attestra.llm import (
+    embedding_dedup, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filters,
+)
 from attestra.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +122,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     chain, names = toxicity_chain(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain, names).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
