@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    embedding_dedup, licenses, mixing, ngram_join, packing, token_counts, toxicity, url_filters,
+    embedding_dedup, licenses, mixing, ngram_join, packing, suffix_dedup, token_counts,
+    toxicity, url_filters,
 )
 from attestra.llm.common import read
 
@@ -127,3 +128,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
