@@ -167,3 +167,24 @@ def mix_sources(docs: DataFrame, size: Column, id_column: str = "doc_id",
     return (placed.join(settle(plan), ["source_key", "size"]).withColumn("copies", copies)
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def apply_mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_column: str = "source",
+              weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: each document as often as ``mix_sources`` takes it; all columns stay.
+
+    Rows of equal id, source and size are told apart by number, which any of them may get.
+    """
+    mixed = settle(mix_sources(docs, size, id_column, source_column, weights, cap, seed).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"))
+    ours = docs.withColumn("_own", size)
+    same = F.col(id_column).eqNullSafe(F.col("_id"))
+    if mixed.groupBy("_id").count().where("count > 1").limit(1).count():
+        mixed = mixed.withColumn("_n", F.row_number().over(
+            Window.partitionBy("_id", "_source", "_size").orderBy("copies")))
+        ours = ours.withColumn("_k", F.row_number().over(
+            Window.partitionBy(id_column, source_column, "_own").orderBy("_own")))
+        same = (same & F.col(source_column).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size"))
+                & (F.col("_k") == F.col("_n")))
+    taken = ours.join(mixed.where("copies > 0"), same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

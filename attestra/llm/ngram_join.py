@@ -160,18 +160,15 @@ def verifier(n: int, threshold: float):
     return verify
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995,
-                 id_column: str = "doc_id", text_column: str = "text", seed: int = 29) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, copy_id, n_copies``.
+def jaccard_classes(named: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995,
+                    seed: int = 29) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``doc_id, key, text`` as ``doc_id, key, blank``, and the copy classes.
 
-    ``class_id`` is the smallest id of the documents reachable over links, ``n_links`` counts the
-    documents linked directly (copies included), ``copy_id`` is the smallest id with the same text
-    and ``n_copies`` how many rows have it.
+    A class has ``key, copy_id`` (smallest id of its rows), ``copies, class_id, n_links`` and
+    ``class_key``, the key of the class that gives ``class_id``.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = named.schema["doc_id"].dataType.simpleString()
     bands, rows = choose_bands(threshold, recall)
-    named = docs.select(F.col(id_column).alias("doc_id"), content_key(text_or_empty(text_column)).alias("key"),
-                        F.col(text_column).alias("text"))
     signed = settle(signatures(named, n, bands, rows, seed, kind))
     classes = settle(signed.where(F.col("bands").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
@@ -197,14 +194,51 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named_classes = classes.select("key", "copy_id", "copies").join(
         roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    ids = named_classes.where(F.col("component").isNotNull()).groupBy("component").agg(
-        F.min("copy_id").alias("least"))
+    first = F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key"))
+    ids = named_classes.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("first"))
     result = named_classes.join(ids, "component", "left").select(
-        "key", "copy_id", "copies", F.coalesce("least", "copy_id").alias("class_id"),
+        "key", "copy_id", "copies",
+        F.when(F.col("component").isNull(), F.col("copy_id")).otherwise(F.col("first.copy_id")).alias("class_id"),
+        F.coalesce("first.key", "key").alias("class_key"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "key", F.col("bands").isNull().alias("blank")).join(
-        result, "key", "left").select(
+    return signed.select("doc_id", "key", F.col("bands").isNull().alias("blank")), result
+
+
+def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), content_key(text_or_empty(text_column)).alias("key"),
+                       F.col(text_column).alias("text"))
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995,
+                 id_column: str = "doc_id", text_column: str = "text", seed: int = 29) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links, copy_id, n_copies``.
+
+    ``class_id`` is the smallest id of the documents reachable over links, ``n_links`` counts the
+    documents linked directly (copies included), ``copy_id`` is the smallest id with the same text
+    and ``n_copies`` how many rows have it.
+    """
+    signed, result = jaccard_classes(_named(docs, id_column, text_column), n, threshold, recall, seed)
+    return signed.join(result, "key", "left").select(
         "doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995,
+             id_column: str = "doc_id", text_column: str = "text", seed: int = 29) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the smallest id stays.
+
+    All columns stay. Blank texts are in no class and all stay; of equal rows with that id one does.
+    """
+    signed, result = jaccard_classes(_named(docs, id_column, text_column), n, threshold, recall, seed)
+    kept = signed.join(result, "key", "left").where(
+        F.col("blank") | (F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("key") == F.col("class_key"))))
+    kept = settle(kept.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("blank").alias("_blank"))
+                  .agg(F.count(F.lit(1)).alias("_rows")))
+    out = docs.withColumn("_own", content_key(text_or_empty(text_column))).join(
+        kept, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    repeated = (F.col("_rows") > 1) & ~F.col("_blank")
+    if kept.where(repeated).limit(1).count():
+        out = out.where(~repeated).unionByName(out.where(repeated).dropDuplicates(["_id", "_own"]))
+    return out.select(*docs.columns)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    embedding_dedup, licenses, mixing, ngram_join, packing, suffix_dedup, token_counts,
-    toxicity, url_filters,
+    embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, suffix_dedup,
+    token_counts, toxicity, url_filters,
 )
 from attestra.llm.common import read
 
@@ -133,3 +133,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))

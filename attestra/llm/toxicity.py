@@ -194,13 +194,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
 def score(docs: DataFrame, chain: list[Model], names: list[str], id_column: str = "doc_id",
           text_column: str = "text", keep: bool = False) -> DataFrame:
-    """``doc_id`` (or, with ``keep``, all columns) and a probability ``p_<category>`` for each row."""
+    """``doc_id`` (or, with ``keep``, all columns) and a probability ``p_<category>`` for each row.
+
+    With ``keep``, more underscores go before ``p_`` if a column already has such a name.
+    """
+    prefix = "p_"
+    while keep and any(prefix + n in docs.columns for n in names):
+        prefix = "_" + prefix
     wanted = docs if keep else docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     at = wanted.columns.index(text_column if keep else "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields
-                          if keep or f.name != "text"), *(f"`p_{n}` double" for n in names)])
+                          if keep or f.name != "text"), *(f"`{prefix}{n}` double" for n in names)])
     among = np.unique(np.concatenate([m["chosen"] for m in chain]))
-    columns_out = [*(c for c in wanted.columns if keep or c != "text"), *(f"p_{n}" for n in names)]
+    columns_out = [*(c for c in wanted.columns if keep or c != "text"), *(f"{prefix}{n}" for n in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,3 +222,10 @@ def score(docs: DataFrame, chain: list[Model], names: list[str], id_column: str
                 yield pa.RecordBatch.from_arrays(columns, names=columns_out)
 
     return wanted.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, chain: list[Model], names: list[str], threshold: float = 0.5,
+                  id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents that the last category of the chain does not reach ``threshold`` for."""
+    scored = score(docs, chain, names, id_column, text_column, keep=True)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < threshold).select(*docs.columns)
