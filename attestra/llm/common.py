@@ -40,6 +40,11 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that columns added beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def content_key(*columns: Column) -> Column:
     """128 bits that equal values share, as 32 hexadecimal digits."""
     return F.md5(F.concat_ws("\x1f", *columns).cast("binary"))

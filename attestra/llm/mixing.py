@@ -1,8 +1,9 @@
 """Mix sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact size per source. A source's target is met by whole passes over the
-source, then by a bounded knapsack over the size counts for what remains, so the sum is exact
-wherever the sizes allow. Seeded documents fill each size's count.
+source, then by a bounded knapsack over the size counts for what remains, so the sum is as near the
+target as the sizes allow. Seeded documents fill each size's count; where that needs more than the
+documents of a size, all of them come again first, never over ``cap`` times.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its
 own and comes last; repeated rows count as documents of their own; ties in the seeded order are
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.common import ranked, settle
+from attestra.llm.common import as_row, ranked, settle
 
 #: The knapsack fills a budget of at most this many times the largest size; whole documents of
 #: every size, in seeded order, go before it.
@@ -59,10 +60,10 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> Dat
             .select("source_key", "source_size", "target"))
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
-    """How many documents of each size to take so that their sum comes as near below the budget as can be.
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, repeats: int = 1) -> np.ndarray:
+    """How many documents of each size to take, up to ``repeats`` times each, to come near the budget.
 
-    First the same share of each size, rounded down; then one more of each size in seeded order
+    The budget is below the sum of all. First the same share of each size, rounded down; then one more of each size in seeded order
     while over ``KNAPSACK_SIZES`` of the largest size remain; the rest by knapsack.
     """
     total = int((sizes * counts).sum())
@@ -88,11 +89,11 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int) ->
                 left -= int(sizes[i])
         if left == before:
             break
-    return taken + knapsack(sizes, counts - taken, left, order)
+    return taken + knapsack(sizes, counts * repeats - taken, left, order)
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
-    """Bounded knapsack by reachable sums: each sum keeps the first item that reached it.
+    """The bounded knapsack nearest to the budget: each reachable sum keeps the first item that reached it.
 
     An item is a power-of-two bundle of one size. A sum first reached by item i came from a sum
     reached by earlier items only, so walking back uses each item once.
@@ -100,20 +101,20 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarr
     out = np.zeros(len(sizes), dtype=np.int64)
     if budget <= 0:
         return out
-    reach = np.zeros(budget + 1, dtype=bool)
+    # Sums beyond twice the budget are farther from it than nothing is.
+    most = budget + min(budget, int(sizes.max()))
+    reach = np.zeros(most + 1, dtype=bool)
     reach[0] = True
-    first = np.full(budget + 1, -1, dtype=np.int32)
+    first = np.full(most + 1, -1, dtype=np.int32)
     items: list[tuple[int, int]] = []
     for i in order:
         size, more, bundle = int(sizes[i]), int(counts[i]), 1
-        if not size or size > budget:
+        if not size or size > most:
             continue
-        more = min(more, budget // size)
+        more = min(more, most // size)
         while more > 0 and not reach[budget]:
             take = min(bundle, more)
             step = size * take
-            if step > budget:
-                break
             new = reach[:-step] & ~reach[step:]
             first[step:][new] = len(items)
             reach[step:] |= new
@@ -121,7 +122,8 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarr
             more, bundle = more - take, bundle * 2
         if reach[budget]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, take = items[first[at]]
         out[i] += take
@@ -154,10 +156,10 @@ def mix_sources(docs: DataFrame, size: Column, id_column: str = "doc_id",
         extra = np.zeros(len(rows), dtype=np.int64)
         if passes < cap and whole:
             extra = fit_counts(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64),
-                               budget - passes * whole, seed)
+                               budget - passes * whole, seed, cap - passes)
         return pd.DataFrame({"source_key": rows["source_key"], "size": rows["size"],
                              "source_size": rows["source_size"], "target": rows["target"],
-                             "passes": passes, "extra": extra})
+                             "passes": passes + extra // rows["n"], "extra": extra % rows["n"]})
 
     plan = (counts.join(targets, "source_key").groupBy("source_key").applyInPandas(
         fill, "source_key string, size long, source_size long, target double, passes long, extra long"))
@@ -175,16 +177,17 @@ def apply_mix(docs: DataFrame, size: Column, id_column: str = "doc_id", source_c
 
     Rows of equal id, source and size are told apart by number, which any of them may get.
     """
-    mixed = settle(mix_sources(docs, size, id_column, source_column, weights, cap, seed).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"))
-    ours = docs.withColumn("_own", size)
-    same = F.col(id_column).eqNullSafe(F.col("_id"))
-    if mixed.groupBy("_id").count().where("count > 1").limit(1).count():
-        mixed = mixed.withColumn("_n", F.row_number().over(
-            Window.partitionBy("_id", "_source", "_size").orderBy("copies")))
-        ours = ours.withColumn("_k", F.row_number().over(
-            Window.partitionBy(id_column, source_column, "_own").orderBy("_own")))
-        same = (same & F.col(source_column).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size"))
-                & (F.col("_k") == F.col("_n")))
+    mixed = settle(mix_sources(docs, size, id_column, source_column, weights, cap, seed)
+                   .select(F.col("doc_id").alias("id"), "source", "size", "copies"))
+    ours = docs.select(as_row(docs), F.col(id_column).alias("own_id"), F.col(source_column).alias("own_source"),
+                       size.alias("own_size"))
+    same = F.col("own_id").eqNullSafe(F.col("id"))
+    if mixed.groupBy("id").count().where("count > 1").limit(1).count():
+        mixed = mixed.withColumn("nth", F.row_number().over(
+            Window.partitionBy("id", "source", "size").orderBy("copies")))
+        ours = ours.withColumn("own_nth", F.row_number().over(
+            Window.partitionBy("own_id", "own_source", "own_size").orderBy("own_size")))
+        same = (same & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+                & (F.col("own_nth") == F.col("nth")))
     taken = ours.join(mixed.where("copies > 0"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import content_key, settle, text_or_empty
+from attestra.llm.common import as_row, content_key, settle, text_or_empty
 from attestra.llm.groups import block_pairs, components, local_roots, map_groups
 from attestra.llm.shingles import shingle_hashes
 from attestra.llm.tokens import slices
@@ -234,11 +234,11 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     signed, result = jaccard_classes(_named(docs, id_column, text_column), n, threshold, recall, seed)
     kept = signed.join(result, "key", "left").where(
         F.col("blank") | (F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("key") == F.col("class_key"))))
-    kept = settle(kept.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("blank").alias("_blank"))
-                  .agg(F.count(F.lit(1)).alias("_rows")))
-    out = docs.withColumn("_own", content_key(text_or_empty(text_column))).join(
-        kept, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    repeated = (F.col("_rows") > 1) & ~F.col("_blank")
+    kept = settle(kept.groupBy("doc_id", "key", "blank").agg(F.count(F.lit(1)).alias("rows")))
+    ours = docs.select(as_row(docs), F.col(id_column).alias("own_id"),
+                       content_key(text_or_empty(text_column)).alias("own_key"))
+    out = ours.join(kept, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
+    repeated = (F.col("rows") > 1) & ~F.col("blank")
     if kept.where(repeated).limit(1).count():
-        out = out.where(~repeated).unionByName(out.where(repeated).dropDuplicates(["_id", "_own"]))
-    return out.select(*docs.columns)
+        out = out.where(~repeated).unionByName(out.where(repeated).dropDuplicates(["doc_id", "key"]))
+    return out.select("row.*")

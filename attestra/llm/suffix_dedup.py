@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import content_key, settle, text_or_empty
+from attestra.llm.common import as_row, content_key, settle, text_or_empty
 from attestra.llm.groups import map_groups
 from attestra.llm.suffix_array import repeated_starts
 
@@ -372,8 +372,9 @@ def without_repeats(docs: DataFrame, length: int = 400, text_column: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([v.as_py().decode("utf-8", "ignore") for v in batch.column(1)], pa.string())],
-                names=["_key", "_kept"])
+                names=["key", "left"])
 
-    left = lost.select("key", "kept").mapInArrow(decode, "_key string, _kept string")
-    joined = docs.withColumn("_key", content_key(text_or_empty(text_column))).join(left, "_key", "left")
-    return joined.withColumn(text_column, F.coalesce("_kept", F.col(text_column))).select(*docs.columns)
+    left = lost.select("key", "kept").mapInArrow(decode, "key string, left string")
+    joined = docs.select(as_row(docs), content_key(text_or_empty(text_column)).alias("key")).join(left, "key", "left")
+    changed = F.coalesce("left", F.col("row").getField(text_column)).alias(text_column)
+    return joined.select(*[changed if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns])
