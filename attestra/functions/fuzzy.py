@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 3072  # text characters per lane; longer texts continue in the next lane
+PAD_TEXT = 0  # letters are numbered from 1
 CELLS = 24576  # needle rows x lanes swept together, sized to stay in the CPU cache
 
 
@@ -35,16 +36,18 @@ def _codes(text: str) -> np.ndarray:
 def _sweep(needles: list, pieces: list, rows: int) -> np.ndarray:
     """Braid sweep of a group of lanes; returns, per text column, where its strand started.
 
-    ``pieces`` hold codes that share small ids with their lane's needle; 0x1000 and 0x2000
-    pad texts and needles and match nothing. The result has one column per lane, is indexed
+    ``pieces`` hold codes that share ids, from 1, with their lane's needle; ``PAD_TEXT``
+    stands for other letters and pads texts, and a number above all ids pads needles, so that
+    pads match nothing. The result has one column per lane, is indexed
     by text position, and is negative where the strand entered from the left.
     """
     width = max(len(p) for p in pieces)
     total = width + 2 * rows
+    # Ids are at most the needle's length, so a type that holds the strands holds them too.
     kind, far = (np.int16, 0x4000) if total + rows < 0x4000 else (np.int32, 0x40000000)
     lanes = len(pieces)
-    needle = np.full((rows, lanes), 0x2000, kind)
-    text = np.full((total, lanes), 0x1000, kind)  # last character first
+    needle = np.full((rows, lanes), rows + 1, kind)
+    text = np.full((total, lanes), PAD_TEXT, kind)  # last character first
     for lane, (a, b) in enumerate(zip(needles, pieces)):
         needle[: len(a), lane] = a
         text[total - rows - len(b): total - rows, lane] = b[::-1]
@@ -73,7 +76,7 @@ def _column_starts(pairs: list) -> list:
     for index, (a, b) in enumerate(pairs):
         letters = np.unique(a)
         where = np.minimum(np.searchsorted(letters, b), len(letters) - 1)
-        coded = np.where(letters[where] == b, where + 1, 0x1000)
+        coded = np.where(letters[where] == b, where + 1, PAD_TEXT)
         own = np.searchsorted(letters, a) + 1
         for begin in range(0, max(len(b), 1), PIECE):
             back = min(begin, len(a))  # a window reaches back at most one needle length

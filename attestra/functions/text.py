@@ -64,15 +64,10 @@ def strip(value: Column) -> Column:
 
 
 def fold_apostrophes(value: Column) -> Column:
-    """Backtick to apostrophe; curly quotes are gone once ``fold_ascii`` ran."""
+    """Backtick to apostrophe; curly quotes, en and em dashes are gone once ``fold_ascii`` ran."""
     return F.translate(blank(value), "`", "'")
 
 
-def fold_dashes(value: Column) -> Column:
-    """Hyphen stays; en and em dashes are gone once ``fold_ascii`` ran."""
-    return blank(value)
-
-
 def normalize_folded(folded: Column) -> Column:
     """``normalize_text`` for a value that ``fold_ascii`` already produced."""
     lowered = F.lower(F.translate(folded, "`", "'"))
@@ -93,8 +88,6 @@ def normalize_for_match(value: Column) -> Column:
 
 
 # Brand, class and warning wording all compare in the same normal form.
-normalize_brand_name = normalize_for_match
-normalize_class_type = normalize_for_match
 normalize_for_strict_warning = normalize_for_match
 
 

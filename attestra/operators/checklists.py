@@ -76,12 +76,16 @@ def items_with_status(items: DataFrame, status: str) -> DataFrame:
 def apply_status_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replace status and notes of the items an override table names by ``item_id``.
 
-    Overrides with a status outside the four known ones change nothing. The last of several
-    overrides for an item, by status name, is not defined in general, so they must be unique.
+    Overrides with a status outside the four known ones change nothing. Of several for an item
+    the one with the greatest ``position`` holds, if the table has that column; else, and among
+    equals, the greatest status, then the greatest notes.
     """
+    ranked = ["position"] if "position" in overrides.columns else []
     known = overrides.where(F.col("status").isin(*ITEM_STATUSES)).select(
-        "item_id", F.col("status").alias("new_status"),
-        F.coalesce(F.col("notes"), F.lit("")).alias("new_notes"))
+        "item_id", F.struct(*ranked, F.col("status").alias("new_status"),
+                            F.coalesce(F.col("notes"), F.lit("")).alias("new_notes")).alias("new"))
+    known = known.groupBy("item_id").agg(F.max("new").alias("new")).select(
+        "item_id", "new.new_status", "new.new_notes")
     joined = items.join(known, "item_id", "left")
     hit = F.col("new_status").isNotNull()
     return joined.withColumns({

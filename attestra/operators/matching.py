@@ -161,14 +161,6 @@ def exact_name_match(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("expected"), "missing").otherwise("extra").alias("state"))
 
 
-def exact_match_counts(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    state = F.col("state")
-    return exact_name_match(manifest, files).agg(
-        F.count_if(state == "matched").alias("matched_count"),
-        F.count_if(state == "missing").alias("missing_count"),
-        F.count_if(state == "extra").alias("extra_count"))
-
-
 def has_minimum_application(application: Application | None) -> bool:
     if application is None:
         return False

@@ -33,7 +33,7 @@ class Outcome:
 
 
 _NOT_APPLICABLE = "Not applicable to selected beverage type"
-_VISUAL_LOOK = (
+VISUAL_LOOK = (
     "Confirm visually that the government warning is present, bold where required, readable, "
     "prominent, sufficiently contrasted, and not hidden or obscured."
 )
@@ -149,8 +149,8 @@ RULES = {
                 "The required all-caps GOVERNMENT WARNING: prefix was not detected.",
                 WARNING_PREFIX, "Not found as all caps"))),
     "government_warning_visual_format": (WARNING_FIELD, (
-        Outcome(REVIEW, MEDIUM, 0.0, True, _VISUAL_LOOK, _VISUAL_EXPECTED, _VISUAL_SEEN),
-        Outcome(REVIEW, HIGH, 0.0, True, _VISUAL_LOOK, _VISUAL_EXPECTED, _VISUAL_SEEN),
+        Outcome(REVIEW, MEDIUM, 0.0, True, VISUAL_LOOK, _VISUAL_EXPECTED, _VISUAL_SEEN),
+        Outcome(REVIEW, HIGH, 0.0, True, VISUAL_LOOK, _VISUAL_EXPECTED, _VISUAL_SEEN),
         Outcome(REVIEW, HIGH, 0.0, True, _VISUAL_INSPECT, _VISUAL_EXPECTED,
                 "Warning text not detected; visual formatting cannot be evaluated"))),
     "importer_present": (IMPORTER_FIELD, _presence(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,51 @@ def redaction_audit(df: DataFrame, options: RetentionOptions = RetentionOptions(
         .alias("message"))
 
 
+def _sensitive_map_key(key: Column, strict: bool) -> Column:
+    """``is_sensitive_key`` for keys that are data."""
+    low = F.lower(F.trim(key.cast("string")))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^a-z0-9]+", " ")), F.lit(" "))
+
+    def has(words, whole):
+        found = [F.contains(spaced, F.lit(f" {w.replace('_', ' ')} ")) if whole
+                 else F.contains(low, F.lit(w)) for w in words]
+        return reduce(lambda x, y: x | y, found, F.lit(False))
+
+    listed = low.isin(*SENSITIVE_KEYS)
+    if strict:
+        return listed | has(SENSITIVE_WORDS, True) | ~has(SAFE_WORDS, True)
+    safe = low.isin(*SAFE_KEYS) | has(SAFE_WORDS, False)
+    return ~safe & (listed | has(SENSITIVE_WORDS, False))
+
+
+def _redact_map(value: Column, kind: T.MapType, options) -> Column:
+    """Map values by their keys; a masked value of another type than text becomes null."""
+    if isinstance(kind.valueType, T.StringType):
+        def masked(v):
+            return redact_value(v)
+    elif isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+        def masked(v):
+            return F.lit(None).cast(_redacted_type(kind.valueType, options))
+    else:
+        def masked(v):
+            return F.lit(None).cast(kind.valueType)
+    return F.transform_values(value, lambda k, v: F.when(
+        _sensitive_map_key(k, options.strict), masked(v)).otherwise(
+        _redact_nested(v, kind.valueType, options)))
+
+
+def _redacted_type(kind: T.DataType, options) -> T.DataType:
+    """The type ``_redact_nested`` gives: masked fields are text."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, T.StringType() if is_sensitive_key(
+            f.name, options.strict) else _redacted_type(f.dataType, options)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_redacted_type(kind.elementType, options))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _redacted_type(kind.valueType, options))
+    return kind
+
+
 def _redact_field(value: Column, name: str, kind: T.DataType, options) -> Column:
     if is_sensitive_key(name, options.strict):
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
@@ -100,11 +146,13 @@ def _redact_nested(value: Column, kind: T.DataType, options) -> Column:
         return F.when(value.isNotNull(), inner)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda v: _redact_nested(v, kind.elementType, options))
+    if isinstance(kind, T.MapType):
+        return _redact_map(value, kind, options)
     return value
 
 
 def redact_nested(df: DataFrame, options: RetentionOptions = RetentionOptions()) -> DataFrame:
-    """Mask sensitive keys at every depth of structs and arrays, by a walk of the schema."""
+    """Mask sensitive keys at every depth of structs, arrays and maps, by a walk of the schema."""
     if options.can_export_values:
         return df
     return df.select(*[

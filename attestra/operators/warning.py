@@ -10,14 +10,10 @@ from attestra.constants import (
 )
 from attestra.functions import fuzzy
 from attestra.functions import text as tx
-from attestra.operators.outcomes import rule_result
+from attestra.operators.outcomes import VISUAL_LOOK, rule_result
 from attestra.operators.results import review_result
 from attestra.schema import RuleOptions
 
-_LOOK = (
-    "Confirm visually that the government warning is present, bold where required, readable, "
-    "prominent, sufficiently contrasted, and not hidden or obscured."
-)
 _INSPECT = (
     "Inspect the label artwork manually because warning text was not detected by OCR and "
     "visual formatting cannot be evaluated automatically."
@@ -117,7 +113,7 @@ def validation_struct() -> Column:
         F.lit(True).alias("visual_format_review_required"),
         F.when(supplied & (c("_visual") == 1), MEDIUM).otherwise(HIGH).alias("risk_level"),
         F.when(~supplied, _UNAVAILABLE + "; review manually.")
-        .when(c("_present"), _LOOK).otherwise(_INSPECT).alias("reviewer_instruction"),
+        .when(c("_present"), VISUAL_LOOK).otherwise(_INSPECT).alias("reviewer_instruction"),
         c("_context").alias("warning_context"),
         F.when(supplied, messages).otherwise(F.array(F.lit(_UNAVAILABLE + ".")))
         .alias("messages"),

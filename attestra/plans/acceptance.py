@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.operators import evidence
-from attestra.operators.redaction import policy_flags
+from attestra.operators.redaction import policy_flags, redact_nested
 from attestra.plans.batch import BatchTables, run_manifest_batch
 from attestra.schema import RetentionOptions, SlaOptions
 from attestra.sinks.writers import write_package
@@ -64,7 +64,8 @@ def run_acceptance(manifest: DataFrame, texts: DataFrame, store: str,
     tables = {
         "summary": batch.summary, "details": batch.details, "comparison": batch.comparison,
         "performance": batch.performance, "batch_acceptance": batch.batch_acceptance,
-        "acceptance": run.requirements.withColumn("metrics", F.to_json("metrics")),
+        "acceptance": redact_nested(run.requirements, retention).withColumn(
+            "metrics", F.to_json("metrics")),
     }
     write_package(tables, f"{store}/package", retention)
     return run

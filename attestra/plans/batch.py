@@ -20,6 +20,7 @@ APPLICATION = (
     "producer_bottler", "imported", "importer", "country_of_origin", "cola_id", "notes",
 )
 COPIES_PER_TASK = 10_000
+BROADCAST_NAMES = 50_000  # matched records up to this number are sent to the texts
 
 
 def _finish(checked: DataFrame, created_on: Column | None) -> DataFrame:
@@ -35,25 +36,25 @@ def _finish(checked: DataFrame, created_on: Column | None) -> DataFrame:
 def matched_labels(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     """Label texts with the application of their name: last record, last upload.
 
-    Names are aggregated before they meet; the texts then join on their own unique row id,
-    which spreads them evenly whatever the names are.
+    Names are aggregated before they meet. Counted few, the matched records go to the texts,
+    which do not move; else both join on the texts' unique row id, which spreads evenly
+    whatever the names are. Equal rows without an id of their own are one upload.
     """
+    texts = label_text(texts)
     records = matching.last_records(manifest).drop("row_id", "file_name")
     winners = matching.last_uploads(texts).select("key", "upload_row")
     matched = records.join(winners, "key").drop("key")
-    # The join needs this shuffle anyway. Naming its partition count and asking for a merge join
-    # keep adaptive execution from merging partitions that are small in bytes but heavy to
-    # verify, and from broadcasting texts.
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.withColumnRenamed("row_id", "upload_row").repartition(
-        partitions, "upload_row")
-    return spread.join(matched.hint("merge"), "upload_row")
+    few = matched.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    digests = texts.schema["row_id"].dataType.simpleString() == "string"
+    joined = texts.withColumnRenamed("row_id", "upload_row").join(
+        F.broadcast(matched) if few else matched, "upload_row")
+    return joined.dropDuplicates(["upload_row"]) if digests else joined
 
 
 def missing_reports(manifest: DataFrame, texts: DataFrame,
                     created_on: Column | None = None) -> DataFrame:
     """A needs-review report for each manifest name without a text."""
-    missing = matching.missing_names(manifest, texts)
+    missing = matching.missing_names(manifest, label_text(texts))
     blank = {c: F.lit("") for c in APPLICATION}
     blank.update(
         alcohol_content=F.lit(None).cast("double"), proof=F.lit(None).cast("double"),
@@ -73,7 +74,7 @@ def verify_batch(manifest: DataFrame, texts: DataFrame, options: RuleOptions = R
     A name is verified once however often the manifest repeats it; ``expand_occurrences``
     gives one row per listing. Several outputs should read a stored copy of this table.
     """
-    checked = verify_labels(matched_labels(manifest, label_text(texts)), options)
+    checked = verify_labels(matched_labels(manifest, texts), options)
     done = _finish(checked, created_on)
     columns = ["file_name", "raw_text", "ocr_engine", "ocr_seconds", "image_quality_notes",
                *APPLICATION, "occurrences", "results", "extracted", "processing_seconds",
@@ -87,14 +88,17 @@ def verify_batch(manifest: DataFrame, texts: DataFrame, options: RuleOptions = R
 
 def expand_occurrences(table: DataFrame) -> DataFrame:
     """One row per manifest listing. Copies are made in slices spread over tasks, so a name
-    that holds a large share of the manifest does not expand in one place."""
+    that holds a large share of the manifest does not expand in one place; rows listed once
+    stay where they are."""
+    once = table.where(F.col("occurrences") <= 1).drop("occurrences")
+    table = table.where(F.col("occurrences") > 1)
     slices = F.sequence(F.lit(0), ((F.col("occurrences") - 1) / COPIES_PER_TASK).cast("int"))
     sliced = table.withColumn("slice", F.explode(slices))
     left = F.col("occurrences") - F.col("slice") * COPIES_PER_TASK
     copies = F.least(left, F.lit(COPIES_PER_TASK)).cast("int")
     spread = sliced.repartition("file_name", "slice")
-    return spread.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop(
-        "slice", "copy", "occurrences")
+    return once.unionByName(spread.withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), copies))).drop("slice", "copy", "occurrences"))
 
 
 def verify_application(application: Application, texts: DataFrame,
@@ -116,7 +120,11 @@ def verify_text(spark, application: Application, text: str, file_name: str = MAN
 
 @dataclass(frozen=True)
 class BatchTables:
-    """The outputs of a manifest batch, all lazy over the stored reports."""
+    """The outputs of a manifest batch, all lazy over the stored reports.
+
+    ``reports`` has a row per name with its ``occurrences``; summary, details, comparison and
+    performance have one per manifest listing.
+    """
 
     reports: DataFrame
     summary: DataFrame
@@ -135,10 +143,12 @@ def run_manifest_batch(manifest: DataFrame, texts: DataFrame, store: str | None
                        created_on: Column | None = None) -> BatchTables:
     """All tables of a batch. With ``store``, a shared folder, the reports are written there
     once and every output reads that copy; without it each output verifies anew."""
+    texts = label_text(texts)
     table = verify_batch(manifest, texts, options, created_on)
     if store is not None:
         table.write.mode("overwrite").parquet(f"{store}/reports")
         table = manifest.sparkSession.read.parquet(f"{store}/reports")
+    listed = expand_occurrences(table)
     timings = table.where("processed").select("file_name", "processing_seconds", "occurrences")
     timing = performance.timing_acceptance(
         performance.timing_summary(timings, sla, weight="occurrences"), sla)
@@ -146,10 +156,11 @@ def run_manifest_batch(manifest: DataFrame, texts: DataFrame, store: str | None
         matching.extra_names(manifest, texts).select("file_name"))
     return BatchTables(
         reports=table,
-        summary=reports.summary(table),
-        details=reports.detail(table),
-        comparison=reports.evidence_comparison(table),
-        performance=performance.performance_table(timings, sla),
+        summary=reports.summary(listed),
+        details=reports.detail(listed),
+        comparison=reports.evidence_comparison(listed),
+        performance=performance.performance_table(
+            listed.where("processed").select("file_name", "processing_seconds"), sla),
         timing=timing,
         batch_acceptance=performance.batch_acceptance(timing, sla),
         validation=matching.validation_record(manifest, texts),

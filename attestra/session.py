@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -31,12 +30,3 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "attestra")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; a temporary one only for local runs."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

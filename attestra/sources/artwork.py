@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from attestra.functions.text import base_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_MEMBERS = "source string, member string, size bigint, content binary"
+_MEMBERS = "source string, member string, size bigint, content binary, error string"
 
 
 def file_type(name: Column) -> Column:
@@ -50,30 +51,50 @@ def is_safe_member(member: Column) -> Column:
         & ~F.startswith(name, F.lit(".")) & (name != ""))
 
 
+def _wanted(member: str) -> bool:
+    """``is_safe_member`` and ``is_supported`` before a member is read."""
+    parts = member.split("/")
+    first = next((p for p in parts if p != "."), "")
+    return bool(parts[-1]) and member[0] != "/" and ".." not in parts and first != "__MACOSX" and (
+        parts[-1][0] != "." and parts[-1].rpartition(".")[2].lower() in ARTWORK_TYPES)
+
+
 def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame:
-    """All file members of ZIP archives given as (path, content) rows."""
+    """The supported file members of ZIP archives given as (path, content) rows.
+
+    Only wanted members are unpacked, one at a time. An archive that cannot be opened and a
+    member that cannot be read give a row with ``error`` and no content; the members beside
+    them stay. One value holds an archive or a member, so either must stay below 2 GB.
+    """
+
+    def row(path, member, size, content, error):
+        return pd.DataFrame({
+            "source": [path.rsplit("/", 1)[-1]], "member": [member],
+            "size": pd.array([size], dtype="Int64"), "content": [content], "error": [error]})
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                except (zipfile.BadZipFile, TypeError) as failure:
+                    yield row(path, None, None, None, f"Archive could not be read: {failure}")
                     continue
                 with archive:
                     for info in archive.infolist():  # one member in memory at a time
-                        yield pd.DataFrame({
-                            "source": [path.rsplit("/", 1)[-1]],
-                            "member": [info.filename],
-                            "size": [info.file_size],
-                            "content": [archive.read(info) if with_content
-                                        and not info.is_dir() else None],
-                        })
+                        data, error = None, None
+                        if info.is_dir() or not _wanted(info.filename):
+                            continue
+                        if with_content:
+                            try:
+                                data = archive.read(info)
+                            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError,
+                                    NotImplementedError) as failure:
+                                error = f"Member could not be read: {failure}"
+                        yield row(path, info.filename, info.file_size, data, error)
 
     raw = archives.select("path", "content").mapInPandas(members, _MEMBERS)
-    name = F.element_at(F.split("member", "/"), -1)
-    return raw.where(is_safe_member(F.col("member"))).withColumn("file_name", name).where(
-        is_supported(F.col("file_name")))
+    return raw.withColumn("file_name", F.element_at(F.split("member", "/"), -1))
 
 
 def inventory(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -87,4 +108,5 @@ def inventory(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
     listed = rows(files, F.col("file_name"), "Uploaded File")
     if members is None:
         return listed
-    return listed.unionByName(rows(members, F.col("source"), "ZIP Member"))
+    read = members.where(F.col("error").isNull()) if "error" in members.columns else members
+    return listed.unionByName(rows(read, F.col("source"), "ZIP Member"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.constants import MANUAL_NOTE
@@ -13,12 +13,17 @@ def label_text(texts: DataFrame, file_name: str = "file_name", raw_text: str = "
                manual: bool = False) -> DataFrame:
     """Complete the columns the verification expects; given ones are kept.
 
-    ``manual`` marks text that was supplied instead of recognized.
+    ``manual`` marks text that was supplied instead of recognized. ``row_id`` tells which of
+    several uploads of a name is the last; without it a digest of the row stands in, so that
+    the choice is the same however often and wherever the plan runs. Applied again, nothing
+    changes.
     """
     have = set(texts.columns)
     engine = F.lit("manual" if manual else "")
     notes = F.array(F.lit(MANUAL_NOTE)) if manual else F.array().cast("array<string>")
-    row_id = F.col("row_id") if "row_id" in have else F.monotonically_increasing_id()
+    seconds = "ocr_seconds" if "ocr_seconds" in have else None
+    row_id = F.col("row_id") if "row_id" in have else F.sha2(F.concat_ws(
+        "\x00", file_name, raw_text, *([seconds] if seconds else [])), 256)
     name = base_name(F.col(file_name))
     return texts.select(
         row_id.alias("row_id"),
@@ -34,15 +39,3 @@ def label_text(texts: DataFrame, file_name: str = "file_name", raw_text: str = "
          if "image_quality_notes" in have and not manual else notes)
         .alias("image_quality_notes"),
     )
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet input, spread over the cores when it has fewer splits than the cluster has.
-
-    Large inputs have more splits than cores and are left as they are, without a shuffle.
-    """
-    frame = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if len(frame.inputFiles()) < cores and frame.rdd.getNumPartitions() < cores:
-        return frame.repartition(cores)
-    return frame

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from attestra.functions.text import base_name
 from attestra.operators.matching import last_records, name_key
 from attestra.operators.rules import verify_labels
 from attestra.schema import RuleOptions
@@ -20,7 +21,7 @@ def verify_stream(texts: DataFrame, manifest: DataFrame,
                   options: RuleOptions = RuleOptions()) -> DataFrame:
     """Streaming ``texts`` need file_name, raw_text and image_quality_notes."""
     records = last_records(manifest).drop("row_id", "file_name", "occurrences")
-    keyed = texts.withColumn("key", name_key(F.col("file_name")))
+    keyed = texts.withColumn("key", name_key(base_name(F.col("file_name"))))
     return verify_labels(keyed.join(records, "key").drop("key"), options)
 
 

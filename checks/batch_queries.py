@@ -239,13 +239,62 @@ def batch_reports(spark, sf):
 
 @query("batch_occurrences", _BATCH + """
 select file_name, count(*) as listings from (
-  select b.file_name from b, range(100000) r where r.range < b.occurrences) group by file_name""")
+  select b.file_name, unnest(range(b.occurrences)) from b) group by file_name""")
 def batch_occurrences(spark, sf):
     made = batch.matched_labels(*_sides(spark, sf)).select("file_name", "occurrences")
     return batch.expand_occurrences(made).groupBy("file_name").agg(
         F.count("*").alias("listings"))
 
 
+def _run(spark, sf):
+    """A batch over uploads that carry a folder and no row ids: the last upload is then the one
+    with the greatest digest, so each name has one text here."""
+    manifest, uploads = _sides(spark, sf)
+    last = matching.last_uploads(uploads).select(F.col("upload_row").alias("row_id"))
+    single = uploads.join(last, "row_id").drop("row_id").withColumn(
+        "file_name", F.concat(F.lit("/in/"), "file_name"))
+    return batch.run_manifest_batch(manifest, single, created_on=F.lit(CREATED).cast("timestamp"))
+
+
+_LISTED = _BATCH + """, listed as (
+  select b.file_name, b.brand_name, b.ocr_seconds, true as processed, unnest(range(b.occurrences)) as i from b
+  union all
+  select file_name, '', 0.0::double, false, unnest(range(count(*)))
+  from m where key not in (select key from u) group by file_name)
+"""
+
+
+@query("batch_outputs_reports", _LISTED + """
+select file_name, brand_name, processed, ocr_seconds as processing_seconds, count(*) as listings
+from listed group by all""")
+def batch_outputs_reports(spark, sf):
+    rows = batch.expand_occurrences(_run(spark, sf).reports)
+    return rows.groupBy("file_name", "brand_name", "processed", "processing_seconds").agg(
+        F.count("*").alias("listings"))
+
+
+@query("batch_outputs_summary", _LISTED + """
+select file_name as "File Name", count(*) as listings from listed group by all""")
+def batch_outputs_summary(spark, sf):
+    return _run(spark, sf).summary.groupBy("File Name").agg(F.count("*").alias("listings"))
+
+
+@query("batch_outputs_details", _LISTED + """
+select file_name as "File Name", count(*) as least, count(*) as most from listed group by all""")
+def batch_outputs_details(spark, sf):
+    """Every rule of a label has a detail row for each listing of its name."""
+    rows = _run(spark, sf).details.groupBy("File Name", "Rule ID").agg(F.count("*").alias("n"))
+    return rows.groupBy("File Name").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query("batch_outputs_performance", _LISTED + """
+select file_name as "File Name", round(ocr_seconds::decimal(30,12), 3)::double as "Processing Seconds",
+  ocr_seconds <= 5 as "Within SLA", count(*) as listings from listed where processed group by all""")
+def batch_outputs_performance(spark, sf):
+    return _run(spark, sf).performance.groupBy("File Name", "Processing Seconds", "Within SLA").agg(
+        F.count("*").alias("listings"))
+
+
 _ROUND3 = "round({0}::decimal(30,12), {1})::double"
 
 

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.sources.label_text import read_table
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,4 +20,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    """A given table; a session that sets ``attestra.spread`` gets that many partitions of it."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get("attestra.spread", None)
+    return frame if spread is None else frame.repartition(int(spread))

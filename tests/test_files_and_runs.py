@@ -33,7 +33,16 @@ def test_artwork_listing_and_archives(spark, tmp_path):
     assert artwork.list_artwork(spark, str(tmp_path), limit=-3).count() == 0
     zips = spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))
     members = artwork.expand_archives(zips)
-    assert {(r["file_name"], bytes(r["content"])) for r in members.collect()} == {("d.png", b"y" * 512), ("f.JPG", b"y" * 512)}
+    read = members.where("error is null").collect()
+    assert {(r["file_name"], bytes(r["content"])) for r in read} == {("d.png", b"y" * 512), ("f.JPG", b"y" * 512)}
+    failed = members.where("error is not null").collect()
+    assert [(r["source"], r["member"]) for r in failed] == [("broken.zip", None)]
+    raw = bytearray((tmp_path / "in.zip").read_bytes())
+    at = raw.index(b"ok/d.png") + len("ok/d.png")
+    raw[at] ^= 0xFF  # one member no longer matches its checksum
+    bent = spark.createDataFrame([("/z/bent.zip", bytes(raw))], "path string, content binary")
+    rows = {r["file_name"]: r["error"] for r in artwork.expand_archives(bent).collect()}
+    assert rows["f.JPG"] is None and rows["d.png"].startswith("Member could not be read")
     table = {r["File Name"]: r for r in artwork.inventory(files, members).collect()}
     assert table["d.png"]["Source"] == "in.zip" and table["d.png"]["Size KB"] == 0.5
     assert table["b.PNG"]["Type"] == "png" and table["b.PNG"]["Input Type"] == "Uploaded File"
