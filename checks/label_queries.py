@@ -115,10 +115,12 @@ def _seen(rule_id, column, expected="null", where="true"):
 RULE_SQL = {
     "brand_name_match": _rule(
         "brand_name_match", "(case when bm = '' then 1 when brand_score >= 90 then 2 else 3 end)",
-        "brand_name", confidence="brand_score", evidence=context_sql("p", "bp")),
+        "brand_name", confidence="brand_score",
+        evidence=f"case when bm = '' then '' else {context_sql('p', 'bp')} end"),
     "class_type_match": _rule(
         "class_type_match", "(case when cm = '' then 1 when class_score >= 85 then 2 else 3 end)",
-        "class_type", confidence="class_score", evidence=context_sql("p", "cp")),
+        "class_type", confidence="class_score",
+        evidence=f"case when cm = '' then '' else {context_sql('p', 'cp')} end"),
     "alcohol_content_present": _rule(
         "alcohol_content_present", "(case when has_abv then 1 else 2 end)", observed="abv_text",
         evidence="coalesce(abv_text, '')"),
