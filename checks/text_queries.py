@@ -151,8 +151,8 @@ def page_base_names(spark, sf):
 
 @query("contains_phrase_labels", f"""
 with fx as ({FIXTURE})
-select file_name, raw_text <> '' and contains({match('raw_text')}, {match('brand_name')}) as brand_found,
-       raw_text <> '' and contains({match('raw_text')}, {match('class_type')}) as class_found,
+select file_name, raw_text <> '' and brand_name <> '' and contains({match('raw_text')}, {match('brand_name')}) as brand_found,
+       raw_text <> '' and class_type <> '' and contains({match('raw_text')}, {match('class_type')}) as class_found,
        regexp_matches(raw_text, '\\bGOVERNMENT\\s+WARNING\\s*:') as caps_prefix
 from fx""")
 def contains_phrase_labels(spark, sf):
@@ -165,7 +165,7 @@ def contains_phrase_labels(spark, sf):
 
 def context_sql(text, phrase, window=80):
     at = f"instr({text}, {phrase})"
-    return (f"case when {at} = 0 then '' else trim(substr({text}, greatest({at} - {window}, 1), "
+    return (f"case when {phrase} = '' or {at} = 0 then '' else trim(substr({text}, greatest({at} - {window}, 1), "
             f"least(length({text}), {at} - 1 + length({phrase}) + {window}) "
             f"- greatest({at} - 1 - {window}, 0))) end")
 
