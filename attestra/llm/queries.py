@@ -138,3 +138,29 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+SQL["op10_ngram_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') as w
+  from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared
+  from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+links as (
+  select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where shared * 1.8 >= 0.8 * (a.n + b.n) - 1e-9),
+reach as (
+  select doc_id as s, doc_id as t from words
+  union select s, y from reach join links on t = x),
+classes as (select s as doc_id, min(t) as class_id from reach group by s),
+degrees as (select x as doc_id, count(*) as n_links from links group by x)
+select doc_id, class_id, coalesce(n_links, 0) as n_links,
+       case when len(w) = 0 then doc_id else min(doc_id) over (partition by text) end as copy_id,
+       case when len(w) = 0 then 1 else count(*) over (partition by text) end as n_copies
+from words join classes using (doc_id) left join degrees using (doc_id)"""
