@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_row, content_key, settle, text_or_empty
+from attestra.llm.common import as_row, content_key, settle, settle_by, text_or_empty
 from attestra.llm.groups import map_groups
 from attestra.llm.suffix_array import repeated_starts
 
 #: Bytes of the grams that anchors come from.
 GRAM = 16
 #: Bytes of text that a task looks at together, and bytes of pieces in a shard.
-SLICE_BYTES = 1_500_000
-SHARD_BYTES = 2_500_000
+SLICE_BYTES = 800_000
+SHARD_BYTES = 1_200_000
 #: Rows of a run of window fingerprints.
 RUN_ROWS = 200_000
 
@@ -248,7 +248,7 @@ def merged_spans(length: int):
             raw, offsets = _bytes_of(batch.column(1))
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                removed, spans, kept = [], [], []
+                removed, spans, kept, decoded = [], [], [], []
                 for i, ranges in enumerate(part.column(2)):
                     joined: list[list[int]] = []
                     for low, high in sorted((r["low"], r["high"] + length) for r in ranges.as_py()):
@@ -259,21 +259,24 @@ def merged_spans(length: int):
                     text = raw[offsets[at + i]:offsets[at + i + 1]]
                     edges = [0, *(x for span in joined for x in span), len(text)]
                     kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                    decoded.append(kept[-1].decode("utf-8", "ignore"))
                     removed.append(sum(b - a for a, b in joined))
                     spans.append([{"start": a, "stop": b} for a, b in joined])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(removed, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                     pa.array(kept, pa.binary())], names=["key", "n_removed", "spans", "kept"])
+                     pa.array(kept, pa.binary()), pa.array(decoded, pa.string())],
+                    names=["key", "n_removed", "spans", "kept", "kept_text"])
 
     return merge
 
 
 def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
-    """``key, n_removed, spans, kept`` of every different text of ``doc_id, key, text`` that loses bytes.
+    """``key, n_removed, spans, kept, kept_text`` of every text of ``doc_id, key, text`` that loses bytes.
 
-    ``spans`` are byte ranges, ``kept`` the other bytes. Texts with copies come without ``spans``:
-    they lose all.
+    ``spans`` are byte ranges, ``kept`` the other bytes, ``kept_text`` those read as UTF-8 without
+    the parts of characters that a removal has cut. Texts with copies lose
+    everything.
     """
     size = F.octet_length(text_or_empty("text"))
     rows = settle(named.select("doc_id", "key", size.alias("size")))
@@ -291,8 +294,11 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
     wanted = settle(once.join(repeated, "anchor").groupBy("key").agg(F.array_sort(F.collect_set(
         F.struct("first", "last", "anchor"))).alias("ranges")))
     chosen = wanted.join(classes, "key").select(F.col("key").alias("wanted"), "least", "copies", "ranges")
-    texts = settle(named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted")))
-                   .select("key", "text", "ranges", "copies").dropDuplicates(["key"]))
+    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted"))).select(
+        "key", "text", "ranges", "copies")
+    if rows.groupBy("key", "doc_id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["key"])
+    texts = settle_by(texts, "key")
 
     uses = settle(cut_pieces(texts.select("key", "text", "ranges"), length, False))
     different = settle(uses.groupBy("anchor", "piece_id").agg(
@@ -335,11 +341,12 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
              .groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
     single = texts.where("copies = 1").select("key", "text").join(spans, "key")
     lost = single.select("key", "text", "ranges").mapInArrow(
-        merged_spans(length), "key string, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
+        merged_spans(length), "key string, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, "
+        "kept_text string")
     copies = classes.where("copies > 1").select(
         "key", F.col("size").cast("long").alias("n_removed"),
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("spans"),
-        F.lit(b"").cast("binary").alias("kept"))
+        F.lit(b"").cast("binary").alias("kept"), F.lit("").alias("kept_text"))
     return lost.unionByName(copies)
 
 
@@ -367,14 +374,7 @@ def without_repeats(docs: DataFrame, length: int = 400, text_column: str = "text
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn(
         "key", content_key(text_or_empty("text")))
     lost = repeated_text(named, length)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v.as_py().decode("utf-8", "ignore") for v in batch.column(1)], pa.string())],
-                names=["key", "left"])
-
-    left = lost.select("key", "kept").mapInArrow(decode, "key string, left string")
+    left = lost.select("key", F.col("kept_text").alias("left"))
     joined = docs.select(as_row(docs), content_key(text_or_empty(text_column)).alias("key")).join(left, "key", "left")
     changed = F.coalesce("left", F.col("row").getField(text_column)).alias(text_column)
     return joined.select(*[changed if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts a worker remembers; when half as many are met, those of the time before are forgotten.
-REMEMBERED = 1_600_000
+REMEMBERED = 500_000
 
 #: Bytes of text that are encoded at a time; a longer text is encoded alone.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 #: Lower-case letters that normal forms and the byte alphabet treat alike in every library.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
