@@ -245,9 +245,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
                 break
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     sets = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "key", "copies", "least").join(sets, "node", "left").join(links, "node", "left")
-    smallest = named.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("first"))
-    result = named.join(smallest, "component", "left").select(
+    # Only linked nodes are joined by component; the others have none to be dealt out by.
+    tied = sets.join(nodes.select("node", "least"), "node")
+    smallest = tied.groupBy("component").agg(F.min("least").alias("first"))
+    tied = tied.select("node", "component").join(smallest, "component").select("node", "first")
+    named = nodes.select("node", "key", "copies", "least").join(tied, "node", "left").join(links, "node", "left")
+    result = named.select(
         "key", F.coalesce("first", "least").alias("component_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return (rows.select("vec_id", F.when(F.col("block").isNotNull(), F.col("key")).alias("key"))

@@ -192,13 +192,14 @@ def jaccard_classes(named: DataFrame, n: int = 5, threshold: float = 0.8, recall
                               "key string, links long, root string"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named_classes = classes.select("key", "copy_id", "copies").join(
-        roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    # Only linked classes are joined by component; the others have none to be dealt out by.
+    tied = roots.withColumnRenamed("node", "key").join(classes.select("key", "copy_id"), "key")
     first = F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key"))
-    ids = named_classes.where(F.col("component").isNotNull()).groupBy("component").agg(first.alias("first"))
-    result = named_classes.join(ids, "component", "left").select(
+    ids = tied.groupBy("component").agg(first.alias("first"))
+    tied = tied.select("key", "component").join(ids, "component").select("key", "first")
+    result = classes.select("key", "copy_id", "copies").join(tied, "key", "left").join(links, "key", "left").select(
         "key", "copy_id", "copies",
-        F.when(F.col("component").isNull(), F.col("copy_id")).otherwise(F.col("first.copy_id")).alias("class_id"),
+        F.when(F.col("first").isNull(), F.col("copy_id")).otherwise(F.col("first.copy_id")).alias("class_id"),
         F.coalesce("first.key", "key").alias("class_key"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "key", F.col("bands").isNull().alias("blank")), result
