@@ -6,9 +6,10 @@ t = floor(ln w / r + b) and the value ln c - r (t - b + 1); the sample of a text
 Two texts agree in a sample with a probability equal to the generalised Jaccard similarity of their
 weights, sum of minima over sum of maxima. A value tells its term and step, so it is the sample.
 
-The draws are quantiles looked up by bits of one hash: 16 bits for c, 12 for r, 24 for b. Gamma
-quantiles have no closed form, so the two tables are computed by Newton steps as one row, and enter
-the plan as scalar subqueries.
+The draws are quantiles looked up by bits of one hash per sample. Gamma quantiles have no closed
+form, so they are computed by Newton steps, in ``BANKS`` tables whose quantiles lie between each
+other's; a term uses the bank its hash names. The tables are of a fixed size, half a megabyte in all,
+and are broadcast to the terms in an equi-join on the bank.
 
 Defined cases: a null text is empty; an empty or blank text has an empty fingerprint, of likeness 1
 to another empty one and 0 to others; null ids come after all others; rows of one id are told apart
@@ -27,30 +28,36 @@ from attestra.llm.common import settle, text_or_empty
 
 #: Samples of a fingerprint: likeness has a standard error of at most one sixteenth.
 SAMPLES = 64
-R_BITS, C_BITS, B_BITS = 12, 16, 24
+#: Bits of a quantile's place in its table, of b, and number of tables.
+R_BITS, C_BITS, B_BITS = 10, 14, 24
+BANKS = 4
+#: Samples that one row of a term computes. More per row make code too large to be compiled well.
+SAMPLES_PER_ROW = 8
 
 
-def gamma_table(spark: SparkSession, bits: int, log: bool) -> DataFrame:
-    """One row, one array: the Gamma(2, 1) quantiles of the middles of ``2 ** bits`` equal parts.
+def gamma_tables(spark: SparkSession, bits: int, log: bool, banks: int = BANKS) -> DataFrame:
+    """``bank, table``: Gamma(2, 1) quantiles of the middles of ``banks * 2 ** bits`` equal parts, dealt out.
 
     Newton's method on ln(1 - F(x)) = ln(1 + x) - x for the upper half, on F itself below.
     """
-    p = (F.col("id") + 0.5) / float(1 << bits)
-    start = F.when(F.col("p") < 0.5, F.sqrt(2 * F.col("p"))).otherwise(1.7 - F.ln(1 - F.col("p")))
-    lower_step = lambda x: x - (1 - (1 + x) * F.exp(-x) - F.col("p")) / (x * F.exp(-x))
-    upper_step = lambda x: x - (F.ln(1 + x) - x - F.ln(1 - F.col("p"))) / (1 / (1 + x) - 1)
+    parts = banks << bits
+    p = F.col("p")
+    start = F.when(p < 0.5, F.sqrt(2 * p)).otherwise(1.7 - F.ln(1 - p))
+    lower_step = lambda x: x - (1 - (1 + x) * F.exp(-x) - p) / (x * F.exp(-x))
+    upper_step = lambda x: x - (F.ln(1 + x) - x - F.ln(1 - p)) / (1 / (1 + x) - 1)
     x = F.aggregate(F.sequence(F.lit(1), F.lit(25)), F.col("start"), lambda x, _: F.when(
-        F.col("p") < 0.5, lower_step(x)).otherwise(upper_step(x)))
-    rows = spark.range(1 << bits).withColumn("p", p).withColumn("start", start).select(
-        "id", (F.ln(x) if log else x).alias("x"))
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]).alias("table"))
+        p < 0.5, lower_step(x)).otherwise(upper_step(x)))
+    rows = spark.range(parts).withColumn("p", (F.col("id") + 0.5) / float(parts)).withColumn("start", start).select(
+        "id", (F.col("id") % banks).alias("bank"), (F.ln(x) if log else x).alias("x"))
+    return rows.groupBy("bank").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]).alias("table"))
 
 
-def sample_values(term: str, log_weight: str, sample: int, r_table: Column, c_table: Column) -> Column:
+def sample_values(term: str, log_weight: str, sample: Column) -> Column:
     """The value of a term in one sample; null where the text does not have it."""
-    bits = F.xxhash64(F.col(term), F.lit(sample))
-    r = r_table[bits.bitwiseAND(F.lit((1 << R_BITS) - 1)).cast("int")]
-    log_c = c_table[F.shiftrightunsigned(bits, R_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int")]
+    bits = F.xxhash64(F.col(term), sample)
+    r = F.col("r_table")[bits.bitwiseAND(F.lit((1 << R_BITS) - 1)).cast("int")]
+    log_c = F.col("c_table")[F.shiftrightunsigned(bits, R_BITS).bitwiseAND(F.lit((1 << C_BITS) - 1)).cast("int")]
     b = F.shiftrightunsigned(bits, R_BITS + C_BITS).bitwiseAND(F.lit((1 << B_BITS) - 1)).cast("double") / float(1 << B_BITS)
     return log_c - r * (F.floor(F.col(log_weight) / r + b).cast("double") - b + 1.0)
 
@@ -62,14 +69,22 @@ def weighted_samples(words: DataFrame, keys: list[str], flags: list[str], sample
     by the keys beforehand, it is not shuffled again.
     """
     spark = words.sparkSession
-    r_table, c_table = gamma_table(spark, R_BITS, False).scalar(), gamma_table(spark, C_BITS, True).scalar()
+    tables = settle(gamma_tables(spark, R_BITS, False).withColumnRenamed("table", "r_table").join(
+        gamma_tables(spark, C_BITS, True).withColumnRenamed("table", "c_table"), "bank"))
     counted = words.groupBy(*keys, "word").agg(*[F.sum(f).alias(f) for f in flags])
     terms = counted.select(*keys, F.xxhash64("word").alias("term"), *[
         F.when(F.col(f) > 0, F.ln(F.col(f).cast("double"))).alias(f) for f in flags])
-    least = terms.groupBy(*keys).agg(*[
-        F.min(sample_values("term", f, d, r_table, c_table)).alias(f"{f}_{d}") for f in flags for d in range(samples)])
-    return least.select(*keys, *[F.array(*[F.col(f"{f}_{d}") for d in range(samples)]).alias(f"{f}_samples")
-                                 for f in flags])
+    blocks = F.array(*[F.lit(d) for d in range(0, samples, SAMPLES_PER_ROW)])
+    terms = terms.withColumn("bank", F.pmod("term", F.lit(BANKS))).join(F.broadcast(tables), "bank").withColumn(
+        "block", F.explode(blocks))
+    least = terms.groupBy(*keys, "block").agg(*[
+        F.min(sample_values("term", f, F.col("block") + d)).alias(f"{f}_{d}")
+        for f in flags for d in range(SAMPLES_PER_ROW)])
+    # The value itself is the sample; 32 bits of its hash are enough to compare.
+    rows = [F.array(*[F.when(F.col(f"{f}_{d}").isNotNull(), F.hash(f"{f}_{d}")) for d in range(SAMPLES_PER_ROW)]).alias(f)
+            for f in flags]
+    whole = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *rows))).alias("blocks"))
+    return whole.select(*keys, *[F.flatten(F.col(f"blocks.{f}")).alias(f"{f}_samples") for f in flags])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -81,7 +96,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(samples: Column) -> Column:
     """Eight hexadecimal digits per sample; nothing for a text without words."""
-    digits = F.transform(samples, lambda x: F.substring(F.lower(F.lpad(F.hex(F.xxhash64(x)), 16, "0")), 1, 8))
+    digits = F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(
+        F.lit(0xFFFFFFFF))), 8, "0")))
     return F.when(samples[0].isNull(), F.lit("")).otherwise(F.array_join(digits, ""))
 
 
@@ -119,13 +135,14 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_column: str
     ids = next_ids(named.groupBy("none", "id").agg(
         F.max(half).alias("half"), F.min(F.xxhash64("text")).alias("chosen"), F.count(F.lit(1)).alias("n")))
     ids = settle(ids)
-    # Written as one expression, both uses of the dealt-out texts are one shuffle.
+    # Both uses of the dealt-out texts are one shuffle, so nothing here may add a key to the join.
     texts = named.repartition("none", "id")
     asked = ids.alias("d").join(ids.alias("n"), (F.col("d.next_none") == F.col("n.none")) & (
         F.col("d.next_id") == F.col("n.id"))).select(
         F.col("n.none").alias("none"), F.col("n.id").alias("id"), F.col("n.chosen").alias("chosen"),
         F.col("d.none").alias("for_none"), F.col("d.id").alias("for_id"), F.col("d.half").alias("needed"))
-    heads = texts.join(asked, ["none", "id"]).where(F.xxhash64("text") == F.col("chosen")).select(
+    heads = texts.join(asked, ["none", "id"]).where(
+        F.xxhash64("text").bitwiseXOR(F.col("chosen")) == 0).select(
         F.col("for_none").alias("none"), F.col("for_id").alias("id"),
         F.substring(F.col("text"), F.lit(1), F.col("needed")).alias("head"))
     own, keys = texts, ["none", "id"]
@@ -138,16 +155,17 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_column: str
     both = own.join(heads, ["none", "id"]).withColumn(
         "edited", F.concat(kept, F.substring(F.col("head"), F.lit(1), half)))
 
-    split = lambda c: F.split(F.translate(c, "\t\n\u000b\f\r", "     "), " ")
-    parts = F.array(F.struct(F.lit(1).alias("plain"), F.lit(0).alias("changed"), split(F.col("text")).alias("words")),
-                    F.struct(F.lit(0).alias("plain"), F.lit(1).alias("changed"), split(F.col("edited")).alias("words")))
-    words = both.select(*keys, F.explode(parts).alias("p")).select(
-        *keys, "p.plain", "p.changed", F.explode("p.words").alias("word"))
+    which = F.explode(F.array(
+        F.struct(F.lit(1).alias("plain"), F.lit(0).alias("changed"), F.col("text").alias("part")),
+        F.struct(F.lit(0).alias("plain"), F.lit(1).alias("changed"), F.col("edited").alias("part"))))
+    words = both.select(*keys, which.alias("p")).select(*keys, "p.plain", "p.changed", "p.part").select(
+        *keys, "plain", "changed", F.explode(F.split(F.translate("part", "\t\n\u000b\f\r", "     "), " ")).alias("word")
+    ).where("word <> ''")
     signed = weighted_samples(words, keys, ["plain", "changed"], samples)
     facts = both.select(*keys, F.char_length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                         *(["rows"] if "key" in keys else []))
-    signed = settle(signed.join(facts, keys))
+    signed = settle(facts.join(signed, keys, "left"))
     # The next document's samples go to the document before it.
     least = signed.join(ids.select("none", "id", "chosen"), ["none", "id"])
     least = least.where(F.col("key") == F.col("chosen")) if "key" in keys else least
