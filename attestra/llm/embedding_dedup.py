@@ -3,9 +3,13 @@
 Vectors are compared only within a block (equal label and dimension). Equal vectors are one node.
 A first graph comes from sorting each block by sign codes of random planes and comparing runs of
 neighbours; then rounds of NN-descent compare, around every node, its neighbours and those that
-have it as a neighbour, and keep the best. Lists of which every entry is a link are saturated: they
-are enlarged to the whole set of nodes reachable over links, compared in pairs of blocks. The same
-is done for all linked sets, in double precision, so within a set no link is lost or invented.
+have it as a neighbour, and keep the best. Linked sets, the nodes reachable over links, are compared
+in pairs of blocks in double precision, so within a set no link is lost or invented.
+
+A list of which every entry is a link is saturated: links to another set may have been displaced
+from it. Sets with such a list are therefore cut into cells around pivots, the pivots of a block are
+compared in pairs of blocks, and cells that can touch by the angles of their pivots are compared
+member by member; sets with a link between them become one.
 Recall is audited against brute force on a sample; a round is added while it is too low.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those
@@ -180,12 +184,90 @@ def exact_links(threshold: float):
     return compare
 
 
+def cells_of(threshold: float):
+    """Cells of a part of a set: each member goes to the first pivot it links with, else becomes one."""
+    def cut(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit = _matrix(table["vector"])
+        nodes = table["node"].to_numpy()
+        pivot, cos = np.full(len(nodes), -1), np.ones(len(nodes))
+        for k in range(len(nodes)):
+            if pivot[k] < 0:
+                left = np.flatnonzero(pivot < 0)
+                sims = unit[left] @ unit[k]
+                own = (sims >= threshold) | (left == k)
+                pivot[left[own]], cos[left[own]] = k, sims[own]
+        angle = np.where(pivot == np.arange(len(nodes)), 0.0, np.arccos(np.clip(cos, -1, 1)))
+        yield pa.RecordBatch.from_arrays([table["component"].combine_chunks(), pa.array(nodes), pa.array(nodes[pivot]),
+                                          pa.array(angle)], names=["component", "node", "cell", "angle"])
+    return cut
+
+
+def touching_cells(threshold: float):
+    """Pairs of cells of different sets whose pivots are near enough for a link between members."""
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        unit = _matrix(table["vector"])
+        radius, sets, cells = (table[c].to_numpy() for c in ("radius", "component", "cell"))
+        bound = np.minimum(np.pi, np.arccos(threshold) + radius[:, None] + radius[None, :] + SLACK)
+        near = (unit @ unit.T >= np.cos(bound)) & (sets[:, None] != sets[None, :])
+        if low != high:
+            own = table["block"].to_numpy()
+            near &= own[:, None] != own[None, :]
+        a, b = np.nonzero(np.triu(near))
+        yield pa.RecordBatch.from_arrays([pa.array(cells[a]), pa.array(cells[b])], names=["one", "two"])
+    return compare
+
+
+def link_between(threshold: float):
+    """The sets of two cells, if any of their members link."""
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, sets = _matrix(table["vector"]), table["component"].to_numpy()
+        first = sets == sets.min()
+        if (unit[first] @ unit[~first].T >= threshold).any():
+            yield pa.RecordBatch.from_arrays([pa.array([sets.min()]), pa.array([sets.max()])], names=["a", "b"])
+    return compare
+
+
+def joined_sets(sets: DataFrame, lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``sets`` with those made one that hold saturated lists and have a link between them."""
+    full = lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near.sim", -1) >= threshold - SLACK))
+    dense = sets.join(full.select("node"), "node").groupBy("component").agg(F.lit(True).alias("dense"))
+    members = settle(sets.join(dense.select("component"), "component"))
+    if members.select("component").distinct().limit(2).count() < 2:
+        return sets
+    parts = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    vectors = nodes.select("node", F.col("block").alias("kind"), "vector")
+    dealt = members.join(parts, "component").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(vectors, "node")
+    cells = settle(map_groups(dealt.select("component", "part", "node", "vector"), ["component", "part"],
+                              cells_of(threshold), "component long, node long, cell long, angle double"))
+    pivots = settle(cells.groupBy("component", "cell").agg(F.max("angle").alias("radius")).join(
+        vectors.withColumnRenamed("node", "cell"), "cell").withColumn("order", F.xxhash64("cell")))
+    met = block_pairs(pivots, "kind", "order", BLOCK)
+    touching = settle(map_groups(met.select("kind", "low", "high", "block", "component", "cell", "radius", "vector"),
+                                 ["kind", "low", "high"], touching_cells(threshold), "one long, two long"))
+    either = touching.select("one", "two", F.col("one").alias("cell")).unionAll(
+        touching.select("one", "two", F.col("two").alias("cell")))
+    faced = either.join(cells.select("component", "node", "cell"), "cell").join(nodes.select("node", "vector"), "node")
+    links = settle(map_groups(faced.select("one", "two", "component", "vector"), ["one", "two"],
+                              link_between(threshold), "a long, b long").distinct())
+    if links.isEmpty():
+        return sets
+    one = components(links).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return sets.join(one, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def linked_sets(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``node, links, root`` parts: every link between nodes that the lists connect."""
+    """``node, links, root`` parts: every link within the sets that the lists and dense sets' links connect."""
     near = lists.select("node", F.explode("near").alias("n")).where(F.col("n.sim") >= threshold - SLACK)
-    sets = components(near.select(F.col("node").alias("a"), F.col("n.other").alias("b")))
-    members = sets.join(nodes.select("node", "copies", "vector"), "node").select(
-        F.col("component"), "node", "copies", "vector").withColumn("order", F.xxhash64("node"))
+    sets = settle(components(near.select(F.col("node").alias("a"), F.col("n.other").alias("b"))))
+    sets = joined_sets(sets, lists, nodes, threshold)
+    return compare_sets(sets.join(nodes.select("node", "copies", "vector"), "node"), threshold)
+
+
+def compare_sets(members: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, root`` parts: every link between ``node, copies, vector`` of one ``component``."""
+    members = members.select("component", "node", "copies", "vector").withColumn("order", F.xxhash64("node"))
     dealt = block_pairs(members, "component", "order", BLOCK)
     return map_groups(dealt.select("component", "low", "high", "block", "node", "copies", "vector"),
                       ["component", "low", "high"], exact_links(threshold), "node long, links long, root long")

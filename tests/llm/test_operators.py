@@ -318,6 +318,24 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_dense_groups_joined_by_few_links(spark, monkeypatch):
+    """Two groups fill every list from their own side; only links between them of 0.98 to 0.99 join them."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    axes = np.eye(24)
+    centers = [axes[0], np.cos(0.175) * axes[0] + np.sin(0.175) * axes[1], axes[2]]
+    rows = [(100 * g + k, (c + 0.004 * rng.standard_normal(24)).tolist(), 1) for g, c in enumerate(centers) for k in range(40)]
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    assert sims[:40, :40].min() > 0.997 and 0.98 < sims[:40, 40:80].max() < 0.99
+    for k, (i, _, _) in enumerate(rows):
+        assert out[i]["n_links"] == (sims[k] >= 0.98).sum() - 1
+        assert out[i]["component_id"] == (0 if i < 200 else 200) and out[i]["kept"] == (i in (0, 200))
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 def test_fingerprints_estimate_generalised_jaccard(spark, nothing):
