@@ -10,7 +10,10 @@ A list of which every entry is a link is saturated: links to another set may hav
 from it. Sets with such a list are therefore cut into cells around pivots, the pivots of a block are
 compared in pairs of blocks, and cells that can touch by the angles of their pivots are compared
 member by member; sets with a link between them become one.
-Recall is audited against brute force on a sample; a round is added while it is too low.
+Recall is audited against brute force on a sample that grows until it holds ``LINKED`` nodes with
+links. While it is too low the lists are doubled and descent goes on. If recall has not been shown
+when the rounds end, or the largest sample holds too few linked nodes to show it, all nodes of a
+block are compared in pairs of blocks: exact, with time by the square of a block.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those
 with a null label, link with nothing; repeated rows are copies and link with each other; a null id
@@ -20,6 +23,7 @@ columns are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,10 @@ SORTS = 6
 REVERSE = 24
 #: Members of a block of a linked set; a task holds two blocks.
 BLOCK = 1024
-#: Nodes of the audit, and the recall it must show.
+#: Nodes the audit asks at first and at most, nodes with links it must see, and the recall it must show.
 AUDITED = 400
+AUDITED_MOST = 25_600
+LINKED = 200
 RECALL = 0.99
 #: Single precision may be off by so much; links are decided in double precision.
 SLACK = 1e-4
@@ -78,6 +84,7 @@ def _best(nodes: np.ndarray, others: np.ndarray, sims: np.ndarray, worst: np.nda
         names=["node", "other", "sim"])
 
 
+LOG = logging.getLogger(__name__)
 EDGE = "node long, other long, sim double"
 
 
@@ -112,19 +119,21 @@ def compare_run(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield _best(nodes, nodes, sims, np.full(len(nodes), -2.0), NEIGHBOURS)
 
 
-def compare_around(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours of one node that improve a list."""
-    if table.num_rows < 2:
-        return
-    nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
-    table = table.take(pa.array(first))
-    unit = _matrix(table["vector"]).astype(np.float32)
-    sims = unit @ unit.T
-    np.fill_diagonal(sims, -2)
-    yield _best(nodes, nodes, sims, table["worst"].to_numpy() + 1e-7, NEIGHBOURS)
+def compare_around(most: int):
+    """Pairs of neighbours of one node that improve a list of up to ``most``."""
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows < 2:
+            return
+        nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        unit = _matrix(table["vector"]).astype(np.float32)
+        sims = unit @ unit.T
+        np.fill_diagonal(sims, -2)
+        yield _best(nodes, nodes, sims, table["worst"].to_numpy() + 1e-7, most)
+    return compare
 
 
-def keep_best(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
+def keep_best(edges: DataFrame, most: int) -> DataFrame:
     """``node, near``: each node's best neighbours, best first. A node has few candidates."""
     found = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
     return found.groupBy("node").agg(F.slice(F.sort_array(
@@ -136,10 +145,10 @@ def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
     codes = settle(sign_codes(nodes, SORTS, seed))
     runs = ranked(codes, ["block", "sort"], "code").withColumn("run", F.floor((F.col("rank") - 1) / RUN)).select(
         "block", "sort", "run", "node").join(nodes.select("node", "vector"), "node")
-    return keep_best(map_groups(runs, ["block", "sort", "run"], compare_run, EDGE))
+    return keep_best(map_groups(runs, ["block", "sort", "run"], compare_run, EDGE), NEIGHBOURS)
 
 
-def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def descend(lists: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """Candidate edges of one round: all pairs among the neighbours of a node, both directions.
 
     A node that very many have as neighbour gets several parts of at most about ``REVERSE`` of
@@ -155,11 +164,11 @@ def descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
         "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     around = (ahead.select("center", "part", "node").unionAll(back.select("center", "part", "node"))
               .unionAll(itself.select("center", "part", "node")))
-    worst = lists.select("node", F.when(F.size("near") < NEIGHBOURS, F.lit(-2.0)).otherwise(
+    worst = lists.select("node", F.when(F.size("near") < most, F.lit(-2.0)).otherwise(
         F.element_at("near.sim", -1)).alias("worst"))
     members = around.join(nodes.select("node", "vector").join(worst, "node"), "node")
     return map_groups(members.select("center", "part", "node", "worst", "vector"), ["center", "part"],
-                      compare_around, EDGE)
+                      compare_around(most), EDGE)
 
 
 def exact_links(threshold: float):
@@ -228,9 +237,9 @@ def link_between(threshold: float):
     return compare
 
 
-def joined_sets(sets: DataFrame, lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def joined_sets(sets: DataFrame, lists: DataFrame, nodes: DataFrame, threshold: float, most: int) -> DataFrame:
     """``sets`` with those made one that hold saturated lists and have a link between them."""
-    full = lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near.sim", -1) >= threshold - SLACK))
+    full = lists.where((F.size("near") >= most) & (F.element_at("near.sim", -1) >= threshold - SLACK))
     dense = sets.join(full.select("node"), "node").groupBy("component").agg(F.lit(True).alias("dense"))
     members = settle(sets.join(dense.select("component"), "component"))
     if members.select("component").distinct().limit(2).count() < 2:
@@ -257,11 +266,11 @@ def joined_sets(sets: DataFrame, lists: DataFrame, nodes: DataFrame, threshold:
     return sets.join(one, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
-def linked_sets(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def linked_sets(lists: DataFrame, nodes: DataFrame, threshold: float, most: int) -> DataFrame:
     """``node, links, root`` parts: every link within the sets that the lists and dense sets' links connect."""
     near = lists.select("node", F.explode("near").alias("n")).where(F.col("n.sim") >= threshold - SLACK)
     sets = settle(components(near.select(F.col("node").alias("a"), F.col("n.other").alias("b"))))
-    sets = joined_sets(sets, lists, nodes, threshold)
+    sets = joined_sets(sets, lists, nodes, threshold, most)
     return compare_sets(sets.join(nodes.select("node", "copies", "vector"), "node"), threshold)
 
 
@@ -273,33 +282,52 @@ def compare_sets(members: DataFrame, threshold: float) -> DataFrame:
                       ["component", "low", "high"], exact_links(threshold), "node long, links long, root long")
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, seed: int) -> float:
-    """Share of the true links of a bounded, seeded sample of nodes that were found."""
-    asked = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(AUDITED).select("node", "block", "vector").collect()
-    by_block: dict[str, list] = {}
-    for row in asked:
-        by_block.setdefault(row["block"], []).append((row["node"], row["vector"]))
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, seed: int, asked: int) -> tuple[float, int]:
+    """Recall of a seeded sample of ``asked`` nodes, and how many of them have links.
+
+    Recall is the share of all their links that were found, or the mean share per linked node if
+    that is less, so that large sets do not hide small ones.
+    """
+    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "node")).limit(asked).select("node", "block", "vector").toArrow()
+    kinds = np.array(sample["block"].to_pylist())
+    by_block = {}
+    for kind in np.unique(kinds).tolist():
+        part = sample.filter(pa.array(kinds == kind))
+        by_block[kind] = part["node"].to_numpy(), _matrix(part["vector"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[int, int] = {}
-            blocks = batch.column(1).to_pandas().to_numpy()
-            for block, rows in by_block.items():
+            blocks = np.array(batch.column(1).to_pylist())
+            for block, (names, unit) in by_block.items():
                 part = batch.filter(pa.array(blocks == block))
-                if part.num_rows:
-                    names = np.array([n for n, _ in rows])
-                    sims = _matrix(pa.array([v for _, v in rows])) @ _matrix(part.column(3)).T
-                    true = (sims >= threshold) & (names[:, None] != part.column(0).to_numpy()[None, :])
-                    for n, k in zip(names.tolist(), true @ part.column(2).to_numpy().astype(float), strict=True):
-                        out[n] = out.get(n, 0) + int(k)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())],
-                                             names=["node", "true"])
+                for at in range(0, part.num_rows, BLOCK):
+                    some = part.slice(at, BLOCK)
+                    true = unit @ _matrix(some.column(3)).T >= threshold
+                    true &= names[:, None] != some.column(0).to_numpy()[None, :]
+                    links = (true @ some.column(2).to_numpy().astype(float)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[links > 0]), pa.array(links[links > 0])],
+                                                     names=["node", "true"])
 
     true = (nodes.select("node", "block", "copies", "vector").mapInArrow(count, "node long, true long")
             .groupBy("node").agg(F.sum("true").alias("true")))
-    both = true.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(
-        F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    have = F.least("true", F.coalesce("links", F.lit(0)))
+    linked, links, had, mean = true.join(
+        found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(
+        F.count(F.lit(1)), F.sum("true"), F.sum(have), F.avg(have / F.col("true"))).first()
+    return (min(had / links, mean) if linked else 1.0), linked
+
+
+def shown(nodes: DataFrame, found: DataFrame, threshold: float, seed: int, total: int) -> bool | None:
+    """Whether ``found`` has the recall; None if the largest sample has too few linked nodes to tell."""
+    asked = AUDITED
+    while True:
+        recall, linked = audit(nodes, found, threshold, seed, asked)
+        LOG.info("audit: asked %d of %d nodes, %d with links, recall %.4f", min(asked, total), total, linked, recall)
+        if linked >= LINKED or asked >= total:
+            return recall >= RECALL
+        if asked >= AUDITED_MOST:
+            return None
+        asked = min(AUDITED_MOST, max(4 * asked, round(1.3 * asked * LINKED / max(1, linked)) if linked else 0))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str = "vec_id",
@@ -313,18 +341,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     nodes = settle(rows.where(F.col("block").isNotNull()).groupBy("key").agg(
         F.first("block").alias("block"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"),
         F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
-    entries = nodes.count() * NEIGHBOURS
+    total, most = nodes.count(), NEIGHBOURS
     lists = settle(first_graph(nodes, seed))
-    found = None
+    enough = None
     for k in range(rounds):
-        better = settle(descend(lists, nodes))
+        better = settle(descend(lists, nodes, most))
         new = better.select("node", "other").distinct().count()
         lists = settle(keep_best(lists.select("node", F.explode("near").alias("n")).select(
-            "node", "n.other", "n.sim").unionByName(better)))
-        if new <= least_new * entries or k == rounds - 1:
-            found = settle(linked_sets(lists, nodes, threshold))
-            if audit(nodes, found, threshold, seed) >= RECALL:
+            "node", "n.other", "n.sim").unionByName(better), most))
+        if new <= least_new * total * most or k == rounds - 1:
+            found = settle(linked_sets(lists, nodes, threshold, most))
+            enough = shown(nodes, found, threshold, seed, total)
+            if enough or enough is None:
                 break
+            most *= 2
+    if not enough:
+        LOG.warning("recall of %.2f not shown: all nodes of a block are compared", RECALL)
+        found = settle(compare_sets(nodes.withColumn("component", F.col("block")).drop("block"), threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     sets = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Only linked nodes are joined by component; the others have none to be dealt out by.

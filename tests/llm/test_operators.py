@@ -336,6 +336,21 @@ def test_dense_groups_joined_by_few_links(spark, monkeypatch):
         assert out[i]["component_id"] == (0 if i < 200 else 200) and out[i]["kept"] == (i in (0, 200))
 
 
+def test_links_stay_whole_when_the_lists_lose_them(spark, monkeypatch):
+    """A descent that finds nothing is seen though few nodes have links, and the result is exact all the same."""
+    rng = np.random.default_rng(13)
+    vectors = rng.standard_normal((1500, 16))
+    vectors[1490:1500] = vectors[:10] + 0.01 * rng.standard_normal((10, 16))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)],
+                                  "vec_id long, embedding array<double>, label int")
+    graph = embedding_dedup.first_graph
+    monkeypatch.setattr(embedding_dedup, "first_graph", lambda nodes, seed: graph(nodes, seed).where("false"))
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table, rounds=1).collect()}
+    for i in range(1500):
+        twin = i % 1490 < 10
+        assert out[i]["n_links"] == twin and out[i]["component_id"] == (i % 1490 if twin else i)
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 def test_fingerprints_estimate_generalised_jaccard(spark, nothing):
