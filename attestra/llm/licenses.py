@@ -2,7 +2,9 @@
 
 Fuzzy search by the pigeonhole principle: a notice with at most k edits is cut into k + 1 seeds, one
 of which a match holds unchanged. Seeds are looked for in the whole folded text; the regex library
-then matches the notice with its error bound around each place and reports the span.
+then matches the notice with its error bound around each place and reports the span. A match must
+also hold the words that name the license, within an error bound of their own and with no rival word
+or other version number in their place, so that other licenses do not pass as edits.
 
 Folding: A-Z lower-cased, every run of ASCII characters other than letters and digits one space.
 Words are what then stands between spaces, so ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
@@ -45,8 +47,20 @@ NOTICES = (
     ("dedicated to the public domain", "public-domain"),
 )
 
-#: One edit is allowed for so many characters of a notice.
+#: One edit is allowed for so many characters of a notice, and of a word that names the license.
 CHARS_PER_EDIT = 10
+CHARS_PER_TELLING_EDIT = 3
+
+#: Words that name a license, and words that name another one in their place (fixed values).
+TELLING = {
+    "mit": (), "apache": (), "mozilla": (), "lesser": (), "affero": (), "domain": (),
+    "nc": ("nd", "sa"), "sa": ("nc", "nd"),
+    "noncommercial": ("commercial", "noderivatives", "noderivs", "sharealike"),
+    "sharealike": ("commercial", "noderivatives", "noderivs", "noncommercial"),
+}
+#: The version of a license, at the end of a notice, and numbers in a text with at most one stray character.
+VERSION = regex.compile(rb"(?<=version )[0-9 ]+$")
+NUMBER = regex.compile(rb"(?<![^ ])[^0-9 ]?([0-9]+)|([0-9]+)(?=[^0-9 ]?(?: |$))")
 
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32
               for c in range(256))
@@ -59,6 +73,8 @@ class Notice:
     edits: int
     pattern: regex.Pattern
     seeds: tuple[tuple[bytes, int], ...]  # with the seed's place in the notice
+    telling: tuple[tuple[int, int, regex.Pattern, frozenset[bytes]], ...]  # place, length, wording, rivals
+    version: tuple[int, bytes] | None  # place and digits
 
 
 def notice(text: str, label: str) -> Notice:
@@ -68,7 +84,38 @@ def notice(text: str, label: str) -> Notice:
     # Substitutions, insertions and deletions count alike; a match found is then fitted better.
     pattern = regex.compile(b"(?e)(?:%s){e<=%d}" % (regex.escape(raw), edits))
     seeds = tuple((raw[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False))
-    return Notice(raw, label, edits, pattern, seeds)
+    telling = []
+    for m in regex.finditer(rb"[^ ]+", raw):
+        word = m[0].decode()
+        if word in TELLING:
+            own = regex.compile(b"(?:%s){e<=%d}" % (regex.escape(m[0]), max(1, len(m[0]) // CHARS_PER_TELLING_EDIT)))
+            telling.append((m.start(), len(m[0]), own, frozenset(x.encode() for x in TELLING[word])))
+    v = VERSION.search(raw)
+    return Notice(raw, label, edits, pattern, seeds, tuple(telling), v and (v.start(), v[0].replace(b" ", b"")))
+
+
+def names_license(text: bytes, begin: int, stop: int, n: Notice) -> bool:
+    """Whether a match holds the notice's telling words and version, or only its other words."""
+    for place, size, own, rivals in n.telling:
+        a, b = max(0, begin + place - n.edits), begin + place + size + n.edits
+        if not own.search(text, a, min(b, len(text))):
+            return False
+        # Whole words that reach into the place of the telling word.
+        a, b = text.rfind(b" ", 0, begin + place + 1) + 1, text.find(b" ", begin + place + size)
+        if rivals & set(text[max(begin, a - n.edits):b if b >= 0 else len(text)].split()):
+            return False
+    if n.version:
+        place, digits = n.version
+        end = text.find(b" ", max(stop - 1, 0) + (text[stop - 1:stop] == b" "))
+        end = end if end >= 0 else len(text)
+        a = max(begin, begin + place - n.edits)
+        found = b"".join(x or y for x, y in NUMBER.findall(text, a, end))
+        if len(found) < len(digits):
+            after = text.find(b" ", end + 1)
+            found = b"".join(x or y for x, y in NUMBER.findall(text, a, after if after >= 0 else len(text)))
+        rest = iter(digits)
+        return all(d in rest for d in found)
+    return True
 
 
 def folded(text: str | None) -> bytes:
@@ -110,8 +157,12 @@ def fuzzy_spans(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int
     out = []
     for n in notices:
         for begin, stop in windows(text, n):
-            for m in n.pattern.finditer(text, begin, min(stop, len(text))):
-                out.append((m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
+            at, stop = begin, min(stop, len(text))
+            while m := n.pattern.search(text, at, stop):
+                named = names_license(text, m.start(), m.end(), n)
+                if named:
+                    out.append((m.start(), m.end(), n.label, sum(m.fuzzy_counts)))
+                at = m.end() if named else m.start() + 1
     return sorted(x for x in set(out)
                   if not any(y[3] < x[3] and y[0] < x[1] and x[0] < y[1] for y in out))
 

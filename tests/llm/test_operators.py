@@ -500,6 +500,24 @@ def test_license_notices_with_edits():
     assert licenses.fuzzy_spans(licenses.folded(story(3, 3000)), compiled) == []
 
 
+def test_near_miss_licenses_get_no_label():
+    compiled = tuple(licenses.notice(*n) for n in licenses.NOTICES)
+    for text in ("licensed under the gnu general public license version 2", "Licensed under CC BY-ND 4.0",
+                 "released under the bsd license", "released under the ISC license", "released under the zlib license",
+                 "licensed under the apache license version 1 1", "mozilla public license version 1 1",
+                 "creative commons attribution commercial", "licensed under the gnu general public license version2"):
+        for around in ("", "before words ", "x 3 2 0 "):
+            got = licenses.fuzzy_spans(licenses.folded(around + text + " after mit words"), compiled)
+            assert got == [], (text, got)
+    for text, label in (("released under the bsd license released under the mit license", "mit"),
+                        ("licensed under the gnu general public license version 3 2 files", "gpl-3"),
+                        ("licensed under cc by nd 4 0 licensed under cc by nc 4 0", "cc-by-nc")):
+        assert {x[2] for x in licenses.fuzzy_spans(text.encode(), compiled)} == {label}
+    for n in compiled:
+        assert [x[:3] for x in licenses.fuzzy_spans(b"a 1 " + n.text + b" b 5", compiled) if x[3] == 0] == [
+            (4, 4 + len(n.text), n.label)]
+
+
 # --- n-gram join -------------------------------------------------------------------------------
 
 def brute_links(rows, n=5, threshold=0.8):
