@@ -17,6 +17,10 @@ from attestra.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
 from attestra.llm.common import read, settle
 from attestra.llm.queries import toxicity_chain, word_vocabulary
 
+#: Bytes from which a repeated passage is cut. 51 words of two letters on average with their spaces
+#: are 152 bytes, so passages of over 50 words are cut in every language; ordinary phrases are shorter.
+PASSAGE_BYTES = 150
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain, names = toxicity_chain(docs, read(spark, sf_dir, "labels"))
@@ -28,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

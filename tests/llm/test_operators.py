@@ -598,3 +598,19 @@ def test_pipeline_stages(spark):
     assert mixed.columns == columns
     packed = corpus_pipeline.pack(spark, mixed, SF).collect()
     assert sum(r["piece"] == 0 for r in packed) == mixed.count()
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(17)
+    for letters in (2, 3, 5, 6):
+        passage = " ".join("".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (51, letters)))
+        phrase = " ".join(passage.split()[:6])
+        rows = [(k, f"{story(200 + k, 60)} {passage} {story(300 + k, 40)}") for k in range(2)]
+        rows += [(2, f"{story(202, 60)} {phrase} {story(302, 40)}")]
+        docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+        out = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+        for i, t in rows[:2]:
+            assert passage not in out[i]["text"] and len(out[i]["text"]) == out[i]["n_chars"] >= len(t) - len(passage) - 8
+        assert out[2]["text"] == rows[2][1]
