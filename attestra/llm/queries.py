@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, suffix_dedup,
+    byte_bpe, embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, suffix_dedup,
     token_counts, toxicity, url_filters,
 )
 from attestra.llm.common import read
@@ -164,3 +164,15 @@ select doc_id, class_id, coalesce(n_links, 0) as n_links,
        case when len(w) = 0 then doc_id else min(doc_id) over (partition by text) end as copy_id,
        case when len(w) = 0 then 1 else count(*) over (partition by text) end as n_copies
 from words join classes using (doc_id) left join degrees using (doc_id)"""
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(tokens, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
