@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    byte_bpe, embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, suffix_dedup,
-    token_counts, toxicity, url_filters,
+    byte_bpe, embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, prefix_trie,
+    suffix_dedup, token_counts, toxicity, url_filters,
 )
 from attestra.llm.common import read
 
@@ -176,3 +176,65 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose first turns are those of the first conversation of their hundred."""
+    paths = prefix_trie.turn_paths(read(spark, sf_dir, "conversations"))
+    n = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    first = (F.col("conv_id") - F.col("conv_id") % 100).alias("_first")
+    heads = paths.where(F.col("conv_id") % 100 == 0).select(
+        F.col("conv_id").alias("_first"), prefix_trie.first_turns(F.col("path"), F.lit(5)).alias("_head"))
+    path = F.concat(prefix_trie.first_turns(F.coalesce("_head", F.lit(b"")), n),
+                    prefix_trie.after_turns(F.col("path"), n))
+    rebuilt = paths.withColumn("_first", first).join(heads, "_first", "left").select("conv_id", path.alias("path"))
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    hexed = f"hex(encode({text}))"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(0, length({hexed}) // 2), "
+        f"lambda k: [('0x' || {hexed}[2 * k + 1:2 * k + 2])::bigint, {', '.join(['0::bigint'] * 7)}]))), "
+        "lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)")
+
+
+SQL["op12_conversation_prefix_trie"] = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, {crc32_sql("cast(conv_id as varchar)")} % 6 as h, conv_id - conv_id % 100 as base
+  from (select distinct conv_id from turns)),
+rebuilt as (
+  select c.conv_id, 0 as part, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.base and t.i <= c.h
+  union all
+  select c.conv_id, 1, t.i, t.role, t.text from convs c join turns t on t.conv_id = c.conv_id and t.i > c.h),
+prefixes as (
+  select conv_id, row_number() over w as depth, length(text) as chars,
+         string_agg(length(role) || ':' || length(text) || ':' || role || text, '') over (
+           partition by conv_id order by part, i rows unbounded preceding) as key
+  from rebuilt window w as (partition by conv_id order by part, i)),
+steps as (
+  select conv_id, depth, chars, key from prefixes union all select conv_id, 0, 0, '' from convs),
+members as (
+  select *, lag(key) over (partition by conv_id order by depth) as above,
+         depth = max(depth) over (partition by conv_id) as ends from steps),
+nodes as (
+  select key, depth, min(conv_id) as conv_id, min(above) as above, min(chars) as chars, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from members group by key, depth),
+children as (select above as key, depth - 1 as depth, count(*) as n from nodes where depth > 0 group by all),
+sums as (
+  select m.key, m.depth, sum(case when c.n is null then 1 else 0 end) as n_leaves,
+         sum((n.n_convs - 1) * n.chars) as saved_tokens
+  from nodes n left join children c on c.key = n.key and c.depth = n.depth
+  join members m on m.conv_id = n.conv_id and m.depth <= n.depth group by all)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children,
+       cast(s.n_leaves as bigint) as n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n join sums s on s.key = n.key and s.depth = n.depth
+left join children c on c.key = n.key and c.depth = n.depth
+left join nodes p on p.key = n.above and p.depth = n.depth - 1"""
