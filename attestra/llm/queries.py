@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    byte_bpe, embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing, prefix_trie,
-    suffix_dedup, token_counts, toxicity, url_filters,
+    byte_bpe, embedding_dedup, fingerprints, licenses, mixing, ngram_join, packing,
+    prefix_trie, spelling, suffix_dedup, token_counts, toxicity, url_filters,
 )
-from attestra.llm.common import read
+from attestra.llm.common import read, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,3 +238,49 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n,
 from nodes n join sums s on s.key = n.key and s.depth = n.depth
 left join children c on c.key = n.key and c.depth = n.depth
 left join nodes p on p.key = n.above and p.depth = n.depth - 1"""
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, every 97th (by a checksum of document and word) with one letter missing."""
+    runs = read(spark, sf_dir, "documents").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"),
+        F.explode(spelling.letter_runs(F.col("text"))).alias("run"))
+    lowered = runs.select("doc_id", spelling.lower_ascii(F.col("run")).alias("run"))
+    checksum = lowered.select("run", F.crc32(F.concat("doc_id", F.lit(":"), "run").cast("binary")).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    damaged = F.when(F.col("h") % 97 == 0, F.concat(
+        F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
+    words = settle(checksum.select(damaged.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(
+        (F.length("word") >= 5) & (F.col("n") >= 3)))
+    return spelling.group_variants(words)
+
+
+SQL["op11_spelling_variants"] = rf"""
+with recursive runs as (
+  select coalesce(cast(doc_id as varchar), '') as doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') as run
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents)),
+sums as (
+  select run, c, {crc32_sql("doc_id || ':' || run")} as h
+  from (select doc_id, run, count(*) as c from runs group by all)),
+words as (
+  select word, cast(sum(c) as bigint) as n from (
+    select c, case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word from sums)
+  where length(word) >= 5 group by word having sum(c) >= 3),
+cuts as (select word, n, i, word[:i - 1] || word[i + 1:] as cut
+         from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other, b.n as n_other from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on b.word = a.cut
+  union select b.word, a.word, a.n from cuts a join words b on b.word = a.cut),
+best as (
+  select word, count(*) as n_near, max(n_other) as most, arg_min(other, (-n_other, other)) as other from near group by word),
+found as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 2 * n then other end as form,
+         case when most >= 2 * n then most end as form_n
+  from words w left join best using (word)),
+ways as (
+  select word, word as root, 0 as steps from found
+  union all select w.word, f.form, steps + 1 from ways w join found f on f.word = w.root where f.form is not null)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n
+from found f join (select word, arg_max(root, steps) as root from ways group by word) r using (word)"""
