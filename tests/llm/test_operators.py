@@ -571,7 +571,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 
@@ -591,7 +591,7 @@ def test_pipeline_stages(spark):
         min(rows[j][0] for j in range(len(rows)) if least[j] == k) for k in set(least)}
     texts = {r["doc_id"]: r["text"] for r in one.collect()}
     cut = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, one, SF).collect()}
-    for i, x in zip(texts, removed(list(texts.values()), 400), strict=True):
+    for i, x in zip(texts, removed(list(texts.values()), corpus_pipeline.PASSAGE_BYTES), strict=True):
         assert len(cut[i]["text"].encode()) <= x[0] - x[1] and (x[1] or cut[i]["text"] == texts[i])
         assert cut[i]["n_chars"] == len(cut[i]["text"])
     mixed = corpus_pipeline.mix(spark, corpus_pipeline.cut_repeats(spark, one, SF), SF)
