@@ -10,6 +10,7 @@ from attestra.constants import (
 )
 from attestra.functions import extract, fuzzy, sanitize
 from attestra.functions import text as tx
+from attestra.operators import needles
 from attestra.operators.matching import name_key
 from checks.fixture import FIXTURE, labels
 from checks.registry import query, table
@@ -163,6 +164,36 @@ def contains_phrase_labels(spark, sf):
         tx.has_caps_prefix(text).alias("caps_prefix"))
 
 
+def _needles_sql(needles):
+    return f"""
+with d as (select doc_id, {match('text')} as t from documents where text <> ''),
+n as (select needle_id, {match('phrase')} as p from ({needles}) where phrase <> '')
+select doc_id, needle_id, case when p = '' then 1 else instr(t, p)::int end as at
+from d join n on contains(t, p)"""
+
+
+@query("contains_needles", _needles_sql("select item_id as needle_id, text as phrase from benchmark"))
+def contains_needles(spark, sf):
+    """All documents against all benchmark passages."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("phrase"))
+    return needles.find_needles(table(spark, sf, "documents"), items, "doc_id", "text", "needle_id", "phrase")
+
+
+@query("contains_needles_short", _needles_sql("""
+  select item_id * 10 + k as needle_id, array_to_string(string_split(text, ' ')[:k], ' ') as phrase
+  from benchmark, (select unnest([1, 2, 3]) as k)
+  union all select -1, '--' union all select -2, null"""))
+def contains_needles_short(spark, sf):
+    """The first one, two and three words of each passage, a phrase of marks, and none."""
+    words = F.split("text", " ")
+    items = table(spark, sf, "benchmark").select(F.explode(F.array(*[F.struct(
+        (F.col("item_id") * 10 + k).alias("needle_id"), F.array_join(F.slice(words, 1, k), " ").alias("phrase"))
+        for k in (1, 2, 3)])).alias("n")).select("n.*")
+    odd = spark.createDataFrame([(-1, "--"), (-2, None)], items.schema)
+    return needles.find_needles(
+        table(spark, sf, "documents"), items.unionAll(odd), "doc_id", "text", "needle_id", "phrase")
+
+
 def context_sql(text, phrase, window=80):
     at = f"instr({text}, {phrase})"
     return (f"case when {phrase} = '' or {at} = 0 then '' else trim(substr({text}, greatest({at} - {window}, 1), "

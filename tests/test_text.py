@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,34 @@ def test_sanitize(one, raw, want):
 def test_sanitize_switches(one):
     kept = one(sanitize.sanitize_text(c("t"), 20, mask_paths=False, mask_long_text=False), t="/tmp/a " + "w, " * 200)
     assert kept == "/tmp/a w, w, w, w, w"[:20]
+
+
+def test_needles_equal_brute_force(spark, tmp_path):
+    import random
+
+    from attestra.operators import needles
+
+    rng = random.Random(3)
+    words = ["ab", "abc", "bca", "ca", "Stone's", "x-ray", "été", "b", "---"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for k in range(120)]
+    texts += [(120, None), (121, "   "), (122, "!!!"), (None, "ab bca"), (123, "ab ca"), (123, "ab ca"), (124, "ab " * 5000)]
+    asked = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for k in range(60)]
+    asked += [(60, None), (61, ""), (62, "?!"), (63, "b"), (64, "c a"), (65, "bc ab c"), (66, "no such words here"), (66, "ab"),
+              (None, "ab bca")]
+    frames = [spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "id int, body string, word string, at int").repartition(3)
+              for rows in (texts, asked)]
+    left, right = frames[0].withColumnRenamed("id", "t"), frames[1].withColumnRenamed("id", "n")
+
+    def form(x):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", x) if ord(c) < 128)
+        return re.sub("[^a-z0-9]+", " ", kept.lower()).strip()
+
+    want = sorted(str((i, j, form(t).find(form(p)) + 1)) for i, t in texts for j, p in asked
+                  if t and p and form(p) in form(t))
+    for store in (None, str(tmp_path / "forms")):
+        found = needles.find_needles(left, right, "t", "body", "n", "body", store)
+        assert found.columns == ["t", "n", "at"]
+        assert sorted(str(tuple(r)) for r in found.collect()) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert needles.find_needles(left.where("false"), right, "t", "body", "n", "body").count() == 0
+    assert needles.find_needles(left, right.where("false"), "t", "body", "n", "body").count() == 0
