@@ -65,7 +65,8 @@ def performance_table(timings: DataFrame, options: SlaOptions = SlaOptions()) ->
 
 
 PERCENTS = (0.5, 0.9, 0.95)
-_GRID = 1000  # buckets per second
+#: Bits of a value that one round of the selection counts, and rounds over all 64.
+DIGIT_BITS, ROUNDS = 16, 4
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -73,42 +74,62 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in names])
 
 
+def ordered_bits(value: Column) -> Column:
+    """A non-negative double's bits as a long: larger values have larger ones."""
+    # The power of two at or below the value; a logarithm may be off by one next to powers of two.
+    near = F.greatest(F.floor(F.log2(value)), F.lit(-1022)).cast("int")
+    power = F.when(F.pow(F.lit(2.0), near) > value, near - 1).when(
+        F.pow(F.lit(2.0), near + 1) <= value, near + 1).otherwise(near)
+    power = F.greatest(power, F.lit(-1022))
+    fraction = value / F.pow(F.lit(2.0), power)
+    # Below the smallest normal number the leading bit is missing and the exponent counts as 0.
+    normal = fraction >= 1.0
+    bits = (power + 1023).cast("bigint") * F.lit(1 << 52) + ((fraction - 1.0) * float(1 << 52)).cast("bigint")
+    return F.when(value == 0.0, F.lit(0).cast("bigint")).when(value == float("inf"), F.lit(0x7FF << 52)).when(
+        normal, bits).otherwise((fraction * float(1 << 52)).cast("bigint"))
+
+
 def exact_percentiles(values: DataFrame, by: list[str]) -> DataFrame:
-    """Interpolated percentiles of distinct timings ``s`` that occur ``w`` times, with their
-    grid ``bucket``.
+    """Interpolated percentiles of distinct timings ``s`` that occur ``w`` times.
 
-    One batch may hold most rows, so its values never gather in one task. Counting on a fixed
-    millisecond grid finds the buckets that hold the wanted ranks; only their distinct values,
-    already counted, are then put in order.
+    Radix selection: each round counts the values of a batch by their next 16 bits and keeps those
+    whose count reaches a wanted rank. A task orders at most 65,536 counts, whether a batch's values
+    lie in one millisecond or are spread over months, and whatever share of all rows a batch has.
     """
     c = F.col
-    grid = values.groupBy(*by, "bucket").agg(F.sum("w").alias("w"))
-    batch = Window.partitionBy(*by)
-    placed = grid.withColumns({
-        "last": F.sum("w").over(batch.orderBy("bucket")), "n": F.sum("w").over(batch)})
-    places = [(c("n") - 1) * F.lit(p) for p in PERCENTS]
-    ranks = []
+    digits = [f"_d{k}" for k in range(ROUNDS)]
+    every = values.withColumn("_bits", ordered_bits(c("s"))).select(*by, "s", "w", *[
+        F.shiftright("_bits", 64 - DIGIT_BITS * (k + 1)).bitwiseAND((1 << DIGIT_BITS) - 1).alias(d)
+        for k, d in enumerate(digits)])
+    ranks, places = "_ranks", [(c("n") - 1) * F.lit(p) for p in PERCENTS]
+    wanted = []
     for place in places:
         low = F.floor(place).cast("bigint")
-        ranks += [low, F.least(low + 1, c("n") - 1)]
-    first = c("last") - c("w")
-    hits = F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= first) & (r < c("last")))
-    wanted = placed.select(*by, "bucket", "n", first.alias("first"), hits.alias("hits")).where(
-        F.size("hits") > 0)
-
-    inside = Window.partitionBy(*by, "bucket").orderBy("s")
-    right = wanted.select(*[c(k).alias(f"_{k}") for k in by], c("bucket").alias("_bucket"),
-                          "n", "first", "hits")
-    keys = reduce(lambda x, y: x & y, [c(k).eqNullSafe(c(f"_{k}")) for k in by],
-                  c("bucket") == c("_bucket"))
-    ordered = values.join(right, keys).withColumn("upto", F.sum("w").over(inside))
-    found = ordered.select(
-        *by, "n", "s", (c("first") + c("upto") - c("w")).alias("lo"),
-        (c("first") + c("upto")).alias("hi"))
-    # A value covers the ranks lo <= r < hi.
-    at = [F.max(F.when((r >= c("lo")) & (r < c("hi")), c("s"))) for r in ranks]
-    picked = found.groupBy(*by).agg(F.first("n").alias("n"),
-                                    *[v.alias(f"r{i}") for i, v in enumerate(at)])
+        wanted += [low, F.least(low + 1, c("n") - 1)]
+    fixed: list[str] = []
+    rows, found = every, None
+    for digit in digits:
+        # ``_first`` is the rank of the first value that shares the bits so far.
+        before = F.lit(0).cast("bigint") if found is None else F.first("_first")
+        counts = rows.groupBy(*by, *fixed, digit).agg(
+            F.sum("w").alias("_w"), F.max("s").alias("s"), before.alias("_base"),
+            *([] if found is None else [F.first(c(ranks)).alias(ranks), F.first("n").alias("n")]))
+        group = Window.partitionBy(*by, *fixed)
+        if found is None:
+            counts = counts.withColumn("n", F.sum("_w").over(group)).withColumn(ranks, F.array_distinct(F.array(*wanted)))
+        upto = c("_base") + F.sum("_w").over(group.orderBy(digit))
+        fixed.append(digit)
+        placed = counts.withColumn("_last", upto).withColumn("_first", c("_last") - c("_w")).withColumn(
+            ranks, F.filter(ranks, lambda r: (r >= c("_first")) & (r < c("_last")))).where(F.size(ranks) > 0)
+        found = placed.select(*by, *fixed, "s", "n", "_first", "_last", ranks)
+        if digit != digits[-1]:
+            next_ = found.select(*[c(k).alias(f"_k_{k}") for k in (*by, *fixed)], "n", "_first", ranks)
+            keys = reduce(lambda x, y: x & y, [c(k).eqNullSafe(c(f"_k_{k}")) for k in by],
+                          reduce(lambda x, y: x & y, [c(k) == c(f"_k_{k}") for k in fixed]))
+            rows = every.join(next_, keys).select(*by, *digits, "s", "w", "n", "_first", ranks)
+    # All 64 bits are fixed now: a row is one value and covers the ranks from _first up to _last.
+    at = [F.max(F.when((r >= c("_first")) & (r < c("_last")), c("s"))) for r in wanted]
+    picked = found.groupBy(*by).agg(F.first("n").alias("n"), *[v.alias(f"r{i}") for i, v in enumerate(at)])
 
     def blend(i, place):
         low, high = c(f"r{2 * i}"), c(f"r{2 * i + 1}")
@@ -117,22 +138,15 @@ def exact_percentiles(values: DataFrame, by: list[str]) -> DataFrame:
     return picked.select(*by, *[blend(i, p) for i, p in enumerate(places)])
 
 
-def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
-                   by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
-    """Counts, moments and interpolated percentiles, one row per batch.
+def _values(timings: DataFrame, keys: tuple[str, ...], weight: str | None) -> DataFrame:
+    """Different timings ``s`` of each batch and how often (``w``) they occur."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    return timings.select(*keys, _clamped(F.col("processing_seconds")).alias("s"), times.cast("bigint").alias("w")).groupBy(
+        *keys, "s").agg(F.sum("w").alias("w"))
 
-    ``weight`` names a column that says how often a timing counts. Without ``by`` there is
-    one row, also for no timings at all.
-    """
+
+def _summarized(values: DataFrame, by: tuple[str, ...], options: SlaOptions) -> DataFrame:
     sla = options.sla()
-    times = F.lit(1) if weight is None else F.col(weight)
-    keys = list(by) or ["_all"]
-    source = timings if by else timings.withColumn("_all", F.lit(1))
-    rows = source.select(*keys, _clamped(F.col("processing_seconds")).alias("s"),
-                         times.cast("bigint").alias("w"))
-    # Everything below reads this one aggregation; its shuffle is planned once and reused.
-    bucket = F.floor(F.col("s") * _GRID).cast("bigint")
-    values = rows.groupBy(*keys, bucket.alias("bucket"), "s").agg(F.sum("w").alias("w"))
     zero, none = F.lit(0.0), F.lit(0).cast("bigint")
     measures = [
         F.coalesce(F.sum("w"), none).alias("n"),
@@ -141,6 +155,7 @@ def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
         F.coalesce(F.min("s"), zero).alias("minimum_seconds"),
         F.coalesce(F.sum(F.when(F.col("s") <= sla, F.col("w"))), none)
         .alias("within_sla_count")]
+    keys = list(by) or ["_all"]
     # A global aggregate gives its row for an empty table too.
     summed = values.groupBy(*by).agg(*measures) if by else values.agg(*measures).withColumn(
         "_all", F.lit(1))
@@ -161,6 +176,32 @@ def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
         F.lit(sla).alias("sla_seconds"), "total_seconds")
 
 
+def timing_summary(timings: DataFrame, options: SlaOptions = SlaOptions(),
+                   by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Counts, moments and interpolated percentiles, one row per batch.
+
+    ``weight`` names a column that says how often a timing counts. Without ``by`` there is
+    one row, also for no timings at all.
+    """
+    # Everything reads this one aggregation; its shuffle is planned once and reused.
+    values = _values(timings if by else timings.withColumn("_all", F.lit(1)), by or ("_all",), weight)
+    return _summarized(values, by, options)
+
+
+def timing_rollup(timings: DataFrame, options: SlaOptions = SlaOptions(), by: tuple[str, ...] = ("batch_id",),
+                  weight: str | None = None) -> DataFrame:
+    """The summary of every batch and, from the same pass, of all timings together.
+
+    ``level`` 0 has a row per batch, ``level`` 1 the row of all, whose batch columns are null. The
+    timings are counted once; the two grouping sets share the counted values and the selection.
+    """
+    counted = _values(timings, by, weight)
+    # Batch columns beside the grouping sets: a null batch id is not the null of the total.
+    sets = counted.groupingSets([[*by, "s"], ["s"]], *by, "s").agg(
+        F.sum("w").alias("w"), F.when(F.grouping_id() == 0, 0).otherwise(1).alias("level"))
+    return _summarized(sets.select("level", *by, "s", "w"), ("level", *by), options)
+
+
 def timing_acceptance(summary: DataFrame, options: SlaOptions = SlaOptions()) -> DataFrame:
     """Add the acceptance verdict to a timing summary."""
     c = F.col

@@ -444,6 +444,15 @@ def sla_summary_total(spark, sf):
     return _rounded(performance.timing_summary(_timings(spark, sf)))
 
 
+@query("sla_rollup", f"""with {_EV}, st as (select batch_id, grouping(batch_id) as level, count(*) as total_files,
+  avg(s) as average, max(s) as top, min(s) as low, quantile_cont(s, 0.5) as p50, quantile_cont(s, 0.9) as p90,
+  quantile_cont(s, 0.95) as p95, count(*) filter (s <= 5) as within_sla_count, sum(s) as total,
+  count(*) filter (s > 5) as breaches from ev group by rollup(batch_id))
+select level::int as level, batch_id, {_SUMMARY} from st""")
+def sla_rollup(spark, sf):
+    return _rounded(performance.timing_rollup(_timings(spark, sf)))
+
+
 def _met(x):
     return f"({x})"
 
