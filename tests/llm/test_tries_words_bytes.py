@@ -232,10 +232,13 @@ def random_words(seed: int, n: int, alphabet: str) -> dict[str, int]:
     return {w: int(2 ** (rng.random() * 12)) + 3 for w in sorted(words)}
 
 
-@pytest.mark.parametrize("frequent,alphabet", [(32, "abcdefgh"), (1, "ab"), (10 ** 9, "abcé")])
-def test_variants_equal_brute_force(spark, monkeypatch, frequent, alphabet):
-    """With a usual dictionary, one in which nearly every gram is frequent, and an empty one."""
+@pytest.mark.parametrize("frequent,alphabet,rows,broadcast", [
+    (32, "abcdefgh", 20_000, 9), (1, "ab", 40, 0), (1, "abc", 15, 500), (10 ** 9, "abcé", 20_000, 9)])
+def test_variants_equal_brute_force(spark, monkeypatch, frequent, alphabet, rows, broadcast):
+    """With a usual dictionary, two in which nearly every gram is frequent and lists are dealt, an empty one."""
     monkeypatch.setattr(spelling, "FREQUENT", frequent)
+    monkeypatch.setattr(spelling, "LIST_ROWS", rows)
+    monkeypatch.setattr(spelling, "BROADCAST_LISTS", broadcast)
     counts = random_words(len(alphabet), 250 if alphabet == "ab" else 700, alphabet)
     table = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
     got = [tuple(r) for r in spelling.group_variants(table).select(
@@ -243,6 +246,16 @@ def test_variants_equal_brute_force(spark, monkeypatch, frequent, alphabet):
     assert sorted(map(str, got)) == sorted(map(str, brute_variants(counts)))
 
 
+def test_the_dictionary_counts_grams(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "FREQUENT", 1)
+    words = ["banana", "bananas", "cabana", "xyzzy", "ééééé"]
+    counts = collections.Counter(
+        m[p:p + n] for m in (spelling.BEGIN + w + spelling.END for w in words)
+        for n in range(2, 5) for p in range(len(m) - n + 1))
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    assert spelling.frequent_grams(table) == {g: n for g, n in counts.items() if n > 1}
+
+
 def test_an_edit_changes_at_most_the_bound():
     rng = random.Random(2)
     frequent = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 3))): 5 for _ in range(14)}
@@ -260,6 +273,26 @@ def test_an_edit_changes_at_most_the_bound():
             assert left & {theirs[p] for p in spelling.rarest(theirs, their_bound + 1, frequent)}
 
 
+def test_lists_are_compared_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(spelling, "SIDE_BY_SIDE", 4)
+    monkeypatch.setattr(spelling, "BLOCK", 8)
+    group = np.repeat(np.arange(60), rng.integers(1, 40, 60))
+    letters = rng.integers(0, 64, len(group)).astype(np.uint64)
+    found = [(x, y) for i, j in spelling.list_pairs(group, letters) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == {
+        (x, y) for x in range(len(group)) for y in range(x + 1, len(group))
+        if group[x] == group[y] and (int(letters[x]) ^ int(letters[y])).bit_count() <= 2}
+
+
+def test_one_edit_equals_brute_force():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    pairs = [(a, b) for a in words for b in words if len(b) - len(a) in (0, 1)]
+    got = spelling.one_edit(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [b in edits(a, "ab") for a, b in pairs]
+
+
 def test_forms_are_followed_to_the_end(spark):
     chain = [(f"w{k:02}", f"w{k + 1:02}") for k in range(20)]
     out = {r["word"]: r["root"] for r in spelling.follow(
