@@ -10,6 +10,8 @@ import numpy as np
 
 #: Places that one lane of the common-prefix walk goes through.
 LANE = 512
+#: Bytes by which suffixes are ordered at first.
+FIRST = 5
 
 
 def words_at(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -24,7 +26,7 @@ def words_at(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 def _group_firsts(changed: np.ndarray) -> np.ndarray:
     """For each row the place of the last row, up to it, that is marked."""
-    return np.maximum.accumulate(np.where(changed, np.arange(len(changed)), 0))
+    return np.maximum.accumulate(np.where(changed, np.arange(len(changed), dtype=np.int32), np.int32(0)))
 
 
 def _marked(*ordered: np.ndarray) -> np.ndarray:
@@ -36,103 +38,131 @@ def _marked(*ordered: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_ranks(words: np.ndarray, left: np.ndarray, string: np.ndarray) -> np.ndarray:
-    """Each suffix's place in their order.
+def sort_order(keys: np.ndarray) -> np.ndarray:
+    """The order of numbers from 0 on; numpy sorts plain numbers faster than it finds their order."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int32)
+    bits = (len(keys) - 1).bit_length()
+    if int(keys.max()).bit_length() + bits > 64:
+        return np.argsort(keys).astype(np.int32)
+    packed = (keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << bits) - 1)
+    return packed.astype(np.int32)
+
+
+def suffix_ranks(words: np.ndarray, left: np.ndarray, string: np.ndarray, most: int) -> np.ndarray:
+    """Each suffix's place in their order by the first ``most`` bytes; suffixes alike so far share a rank.
 
     Ranks by the first h bytes give those by 2h: a group of equal ranks is sorted by the ranks h
-    places on. A rank is the place of its group's first suffix; groups of one are done.
+    places on (in the last round by those that make up ``most`` bytes). A rank is the place of its
+    group's first suffix; groups of one are done.
     """
-    n = len(words)
-    order = np.argsort(words)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = _group_firsts(_marked(words[order]))
-    # Suffixes of under eight bytes differ from others of their word by where they end.
+    n, h = len(words), min(FIRST, most)
+    keys = words >> np.uint64(64 - 8 * h)
+    order = sort_order(keys)
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = _group_firsts(_marked(keys[order]))
+    del keys, order
+    # Suffixes of under h bytes differ from others of their first bytes by where they end.
     ends = np.zeros(n, dtype=bool)
-    ends[rank[left < 8]] = True
+    ends[rank[left < h]] = True
     some = np.flatnonzero(ends[rank])
-    length = np.minimum(left[some], 8)
-    which = np.where(length < 8, string[some], 0)
+    length = np.minimum(left[some], h)
+    which = np.where(length < h, string[some], 0)
     order = np.lexsort((which, length, rank[some]))
     base = rank[some][order]
     rank[some[order]] = base + (_group_firsts(_marked(base, length[order], which[order]))
                                 - _group_firsts(_marked(base)))
-    h = 8
+    del order, ends, some, length, which, base
     strings = int(string[-1]) + 1
-    active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-    while len(active):
-        ended = left[active] == h
-        beyond = rank[np.where(ended, active, active + h)] + strings
+    active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(np.int32)
+    while len(active) and h < most:
+        step = min(h, most - h)
+        ended = left[active] == step
+        beyond = rank[np.where(ended, active, active + step)].astype(np.int64) + strings
         beyond[ended] = string[active[ended]]
+        group = np.zeros(n, dtype=np.int32)
+        group[rank[active]] = 1
+        keys = (np.cumsum(group, dtype=np.int32) - 1)[rank[active]] * np.int64(n + strings) + beyond
+        del beyond, ended, group
+        order = sort_order(keys)
+        active, keys = active[order], keys[order]
         base = rank[active]
-        keys = base * (n + strings) + beyond
-        order = np.argsort(keys)
-        base = base[order]
-        new = base + (_group_firsts(_marked(keys[order])) - _group_firsts(_marked(base)))
-        active = active[order]
+        new = base + (_group_firsts(_marked(keys)) - _group_firsts(_marked(base)))
+        del order, keys, base
         rank[active] = new
         single = np.ones(len(new), dtype=bool)
         single[1:] = new[1:] != new[:-1]
         alone = single.copy()
         alone[:-1] &= single[1:]
         active = active[~alone]
-        h *= 2
+        h += step
     return rank
 
 
 def common_prefixes(words: np.ndarray, left: np.ndarray, string: np.ndarray, before: np.ndarray,
-                    most: int) -> np.ndarray:
+                    tied: np.ndarray, most: int) -> np.ndarray:
     """Bytes, up to ``most``, that each suffix shares with the one before it in their order.
 
-    Kasai's walk goes through a string's places in turn: the next suffix shares at most one byte
-    less. Lanes of places walk side by side, eight bytes at a time.
+    ``tied`` suffixes share ``most`` bytes with it and have no order among themselves. Kasai's walk
+    goes through a string's other places in turn: the next suffix shares at most one byte less,
+    and is compared afresh after a tied one. Lanes of places walk side by side, eight bytes at a time.
     """
     n = len(words)
-    out = np.zeros(n, dtype=np.int64)
-    begins = np.flatnonzero(_marked(string))
-    sizes = np.diff(np.append(begins, n))
-    cuts = -(-sizes // LANE)
-    at = np.repeat(begins, cuts) + (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * LANE
-    end = np.minimum(at + LANE, np.repeat(begins + sizes, cuts))
-    shared = np.zeros(len(at), dtype=np.int64)
+    out = np.where(tied, most, 0).astype(np.int32)
+    places = np.flatnonzero(~tied).astype(np.int32)
+    follows = np.zeros(len(places), dtype=bool)
+    follows[1:] = (np.diff(places) == 1) & (string[places[1:]] == string[places[:-1]])
+    at = np.arange(0, len(places), LANE)
+    end = np.minimum(at + LANE, len(places))
+    shared = np.zeros(len(at), dtype=np.int32)
     while len(at):
-        other = before[at]
-        cap = np.minimum(np.minimum(left[at], left[other]), most)
+        place = places[at]
+        other = before[place]
+        cap = np.minimum(np.minimum(left[place], left[other]), most)
         cap[other < 0] = 0
-        x = (words[np.minimum(at + shared, n - 1)] ^ words[np.minimum(other + shared, n - 1)])
+        x = (words[np.minimum(place + shared, n - 1)] ^ words[np.minimum(other + shared, n - 1)])
         # Words are big-endian numbers: the first byte that differs is the highest one.
-        equal = np.full(len(x), 8)
+        equal = np.full(len(x), 8, dtype=np.int32)
         some = np.flatnonzero(x)
         equal[some] = (x[some].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
         shared = np.minimum(shared + equal, cap)
         done = (equal < 8) | (shared >= cap)
-        out[at[done]] = shared[done]
-        shared = np.where(done, np.maximum(shared - 1, 0), shared)
+        out[place[done]] = shared[done]
         at = at + done
         going = at < end
         if not going.all():
-            at, end, shared = at[going], end[going], shared[going]
+            at, end, shared, done = at[going], end[going], shared[going], done[going]
+        shared = np.where(done, np.where(follows[at], np.maximum(shared - 1, 0), 0), shared)
     return out
 
 
 def repeated_starts(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts with ``length`` bytes in their string, whether those bytes occur again, and their class.
 
-    Strings of ``sizes`` bytes stand one after the other in ``text``. Starts of one class have equal
-    first ``length`` bytes; its number is a place in the suffix array.
+    Strings of ``sizes`` bytes stand one after the other in ``text``, at most 2^30 in all. Starts of
+    one class have equal first ``length`` bytes; its number is a place in the suffix array.
     """
-    string = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
-    starts = np.flatnonzero(left >= length)
+    n = len(text)
+    string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes).astype(np.int32), sizes) - np.arange(n, dtype=np.int32)
+    starts = np.flatnonzero(left >= length).astype(np.int32)
     if not len(starts):
         return starts, np.zeros(0, dtype=bool), starts
     words = words_at(text, left)
-    rank = suffix_ranks(words, left, string)
-    suffixes = np.empty(len(text), dtype=np.int64)
-    suffixes[rank] = np.arange(len(text))
-    before = np.concatenate([[-1], suffixes[:-1]])[rank]
-    shared = common_prefixes(words, left, string, before, length)
+    rank = suffix_ranks(words, left, string, length)
+    suffixes = sort_order(rank)
+    before = np.empty(n, dtype=np.int32)
+    before[suffixes[0]], before[suffixes[1:]] = -1, suffixes[:-1]
+    tied = (before >= 0) & (rank[before] == rank)
+    shared = common_prefixes(words, left, string, before, tied, length)
+    del words, before, tied, left, string
     joined = shared[suffixes] >= length
+    del shared
+    place = np.empty(n, dtype=np.int32)
+    place[suffixes] = np.arange(n, dtype=np.int32)
     head = _group_firsts(~joined)
     again = joined.copy()
     again[:-1] |= joined[1:]
-    return starts, again[rank[starts]], head[rank[starts]]
+    return starts, again[place[starts]], head[place[starts]]

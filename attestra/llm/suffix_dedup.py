@@ -35,8 +35,8 @@ from attestra.llm.suffix_array import repeated_starts
 #: Bytes of the grams that anchors come from.
 GRAM = 16
 #: Bytes of text that a task looks at together, and bytes of pieces in a shard.
-SLICE_BYTES = 800_000
-SHARD_BYTES = 1_200_000
+SLICE_BYTES = 600_000
+SHARD_BYTES = 800_000
 #: Rows of a run of window fingerprints.
 RUN_ROWS = 200_000
 
@@ -185,6 +185,7 @@ def shard_repeats(length: int):
         sizes = np.array([len(p) for p in pieces])
         text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         starts, again, classes = repeated_starts(text, sizes, length)
+        del text
         begins = np.cumsum(sizes) - sizes
         which = np.searchsorted(begins, starts, side="right") - 1
         bounds = np.searchsorted(which, np.arange(len(pieces) + 1))
@@ -217,6 +218,7 @@ def shard_repeats(length: int):
              pa.array(out["classes"], pa.list_(pa.struct([("print", pa.string()), ("at", pa.int64()),
                                                           ("open", pa.bool_())])))],
             names=["shard", "anchor", "piece_id", "low", "high", "classes"])
+        pa.default_memory_pool().release_unused()
     return search
 
 
