@@ -143,8 +143,9 @@ def partial_ratios(pairs: list) -> list:
 
 
 def ratios(pairs: list) -> list:
+    """Scores of string pairs; None where either side is None. Copies are scored once."""
     scores = [None] * len(pairs)
-    work = []
+    work, slots = [], {}
     for index, (a, b) in enumerate(pairs):
         if a is None or b is None:
             continue
@@ -153,30 +154,79 @@ def ratios(pairs: list) -> list:
         elif not a or not b:
             scores[index] = 0.0
         else:
-            short, long = (a, b) if len(a) <= len(b) else (b, a)
-            work.append((index, _codes(short), _codes(long)))
-    wide = _common_lengths([w[1:] for w in work])
-    for (index, short, long), common in zip(work, wide):
-        scores[index] = 200.0 * common / (len(short) + len(long))
-    return scores
+            # The score is symmetric: a pair and its mirror image share a slot.
+            short, long = (a, b) if (len(a), a) <= (len(b), b) else (b, a)
+            scores[index] = slots.setdefault((short, long), len(slots))
+            if len(slots) > len(work):
+                work.append((short, long))
+    common = _common_lengths(work)
+    return [200.0 * common[s] / sum(map(len, work[s])) if isinstance(s, int) else s for s in scores]
+
+
+LANES = 4096  # pairs that are scored side by side
+WORD = 64  # needle letters of a lane
 
 
 def _common_lengths(pairs: list) -> list:
-    """LCS of whole strings: bit-parallel (Hyyro), one Python integer per needle."""
-    lengths = []
-    for needle, text in pairs:
-        masks = {}
-        for bit, code in enumerate(needle.tolist()):
-            masks[code] = masks.get(code, 0) | (1 << bit)
-        full = (1 << len(needle)) - 1
-        state = full
-        for code in text.tolist():
-            hit = state & masks.get(code, 0)
-            state = ((state + hit) | (state - hit)) & full
-        lengths.append(len(needle) - state.bit_count())
+    """LCS lengths of (needle, text) string pairs: bit-parallel (H. Hyyro).
+
+    Needles of up to 64 letters are one machine word each, and a step takes the next letter of
+    thousands of texts at once. Longer needles are one long integer each.
+    """
+    lengths = [0] * len(pairs)
+    short = sorted((k for k, (a, _) in enumerate(pairs) if len(a) <= WORD), key=lambda k: len(pairs[k][1]))
+    for at in range(0, len(short), LANES):
+        group = short[at:at + LANES]
+        for k, n in zip(group, _lane_lengths([pairs[k] for k in group])):
+            lengths[k] = n
+    for k, (needle, text) in enumerate(pairs):
+        if len(needle) > WORD:
+            lengths[k] = _long_length(_codes(needle), _codes(text))
     return lengths
 
 
+def _padded(codes: np.ndarray, sizes: np.ndarray, filler: int) -> np.ndarray:
+    """Codes of many strings, a column each, so that a step reads one row."""
+    table = np.full((len(sizes), int(sizes.max())), filler, np.int32)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = codes
+    return np.ascontiguousarray(table.T)
+
+
+def _lane_lengths(pairs: list) -> list:
+    needles, texts = zip(*pairs)
+    n, m = (np.fromiter(map(len, x), np.int64, len(pairs)) for x in (needles, texts))
+    letters, coded = np.unique(_codes("".join(needles)), return_inverse=True)
+    flat = _codes("".join(texts))
+    where = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    other = len(letters)  # a letter that no needle has
+    text = _padded(np.where(letters[where] == flat, where, other), m, other)
+    lanes = np.arange(len(pairs))
+    masks = np.zeros((len(letters) + 2, len(pairs)), np.uint64)
+    for place, row in enumerate(_padded(coded, n, other + 1)):
+        masks[row, lanes] |= np.uint64(1 << place)
+    masks[other] = masks[other + 1] = 0
+    # All ones below the needle's length; the shift is in two steps, as one by 64 does nothing.
+    bits = n.astype(np.uint64)
+    own = ~(~np.uint64(0) << (bits // np.uint64(2)) << (bits - bits // np.uint64(2)))
+    state = own.copy()
+    for codes in text:
+        hit = state & masks[codes, lanes]
+        state = (state + hit) | (state ^ hit)
+    return (n - np.bitwise_count(state & own)).tolist()
+
+
+def _long_length(needle: np.ndarray, text: np.ndarray) -> int:
+    masks = {}
+    for bit, code in enumerate(needle.tolist()):
+        masks[code] = masks.get(code, 0) | (1 << bit)
+    full = (1 << len(needle)) - 1
+    state = full
+    for code in text.tolist():
+        hit = state & masks.get(code, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(needle) - state.bit_count()
+
+
 @F.pandas_udf(DoubleType())
 def _partial_ratio_udf(needle: pd.Series, text: pd.Series) -> pd.Series:
     pairs = [(a if isinstance(a, str) else None, b if isinstance(b, str) else None)

@@ -75,20 +75,19 @@ def last_records(manifest: DataFrame) -> DataFrame:
 
 
 def last_uploads(files: DataFrame) -> DataFrame:
-    """Row id of the last upload of each key and how many there were; no text is moved."""
+    """Row id and name of the last upload of each key and how many there were; no text is moved."""
     return (
-        files.select(name_key(F.col("file_name")).alias("key"), "row_id")
+        files.select(name_key(F.col("file_name")).alias("key"), "file_name", "row_id")
         .where(F.col("key") != "")
         .groupBy("key").agg(F.max("row_id").alias("upload_row"),
+                            F.max_by("file_name", "row_id").alias("upload_name"),
                             F.count("*").alias("uploads")))
 
 
 def duplicate_upload_warnings(files: DataFrame) -> DataFrame:
     """One warning per upload name that came more than once."""
-    repeated = last_uploads(files).where(F.col("uploads") > 1)
-    named = files.select(F.col("row_id").alias("upload_row"), "file_name")
-    return repeated.join(named, "upload_row").select(
-        F.concat(F.lit("Duplicate uploaded file name encountered: "), F.col("file_name"))
+    return last_uploads(files).where(F.col("uploads") > 1).select(
+        F.concat(F.lit("Duplicate uploaded file name encountered: "), F.col("upload_name"))
         .alias("warning"), (F.col("uploads") - 1).alias("times"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.constants import MANUAL_NOTE
 from attestra.functions.text import base_name, blank, has_text
+from attestra.sources.order import source_place
 
 
 def label_text(texts: DataFrame, file_name: str = "file_name", raw_text: str = "raw_text",
@@ -14,16 +15,18 @@ def label_text(texts: DataFrame, file_name: str = "file_name", raw_text: str = "
     """Complete the columns the verification expects; given ones are kept.
 
     ``manual`` marks text that was supplied instead of recognized. ``row_id`` tells which of
-    several uploads of a name is the last; without it a digest of the row stands in, so that
-    the choice is the same however often and wherever the plan runs. Applied again, nothing
-    changes.
+    several uploads of a name is the last. Without it the last one is the last in its files, by
+    path and place; a table that is not read from files has no such order, and a digest of the row
+    stands in, so that the choice is the same however often and wherever the plan runs. Applied
+    again, nothing changes.
     """
     have = set(texts.columns)
     engine = F.lit("manual" if manual else "")
     notes = F.array(F.lit(MANUAL_NOTE)) if manual else F.array().cast("array<string>")
     seconds = "ocr_seconds" if "ocr_seconds" in have else None
-    row_id = F.col("row_id") if "row_id" in have else F.sha2(F.concat_ws(
-        "\x00", file_name, raw_text, *([seconds] if seconds else [])), 256)
+    place = None if "row_id" in have else source_place(texts)
+    row_id = F.col("row_id") if "row_id" in have else place if place is not None else F.sha2(
+        F.concat_ws("\x00", file_name, raw_text, *([seconds] if seconds else [])), 256)
     name = base_name(F.col(file_name))
     return texts.select(
         row_id.alias("row_id"),

@@ -9,6 +9,7 @@ from attestra.constants import (
     HEADER_ALIASES, MISSING_TOKENS, OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SPIRITS, TRUE_TOKENS,
 )
 from attestra.functions.text import strip
+from attestra.sources.order import FILE, PART, ROW, numbered, placed
 
 # Code page 1252 equals Latin-1 but for these byte values; Spark reads only the latter.
 _C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
@@ -35,7 +36,7 @@ def probe_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_manifest_csv(spark: SparkSession, paths: str | list[str],
                       multi_line: bool = True) -> DataFrame:
-    """Raw string columns under canonical names plus ``row_id`` in file order.
+    """Raw string columns under canonical names plus ``row_id``: files by path, rows as they stand there.
 
     ``multi_line`` keeps quoted line breaks but reads a file in one task; switch it off for
     large manifests without such values, which Spark then splits.
@@ -52,16 +53,19 @@ def read_manifest_csv(spark: SparkSession, paths: str | list[str],
             enforceSchema=False)
         if encoding == "windows-1252":
             swap = str.maketrans(_C1_LATIN, _C1_WINDOWS)
-            frame = frame.select(*[
+            frame = placed(frame).select(*[
                 F.translate(F.col(f"`{c}`"), _C1_LATIN, _C1_WINDOWS).alias(c.translate(swap))
-                for c in frame.columns])
-        frames.append(canonical_columns(frame))
+                for c in frame.columns], FILE, PART, ROW)
+        else:
+            frame = placed(frame)
+        names = canonical_columns(frame.drop(FILE, PART, ROW)).columns
+        frames.append(frame.toDF(*names, FILE, PART, ROW))
     if not frames:
         return spark.createDataFrame([], "row_id bigint")
     merged = frames[0]
     for frame in frames[1:]:
         merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged.withColumn("row_id", F.monotonically_increasing_id())
+    return numbered(merged)
 
 
 def canonical_name(header: str) -> str:

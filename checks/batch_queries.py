@@ -143,7 +143,8 @@ def match_last_records(spark, sf):
 
 
 @query("match_last_uploads", NAMES + """
-select key, max(row_id) as upload_row, count(*) as uploads from u group by key""")
+select key, max(row_id) as upload_row, arg_max(file_name, row_id) as upload_name, count(*) as uploads
+from u group by key""")
 def match_last_uploads(spark, sf):
     return matching.last_uploads(_sides(spark, sf)[1])
 

@@ -78,3 +78,22 @@ def test_columns_with_nulls_and_containment(spark):
     assert got[1] == pytest.approx(slow_partial("abd", "xxabcxx")) and got[5] == 100.0
     same = [r[0] for r in df.select(fuzzy.ratio(F.col("a"), F.col("b"))).collect()]
     assert same[3] == 100.0 and same[1] == pytest.approx(slow_ratio("abd", "xxabcxx"))
+
+
+def test_ratios_of_many_lanes_equal_dynamic_programming():
+    rng = random.Random(11)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    pairs = [(None, "a"), ("", "a"), ("", ""), ("same", "same")]
+    for low, high in ((1, 12), (60, 68), (120, 130)):
+        pairs += [tuple("".join(rng.choice("abcé 😀") for _ in range(rng.randint(low, high))) for _ in "xy") for _ in range(150)]
+    pairs += [(b, a) for a, b in pairs]
+    want = [None if a is None or b is None else 100.0 if a == b else 200.0 * common(a, b) / (len(a) + len(b)) for a, b in pairs]
+    assert fuzzy.ratios(pairs) == pytest.approx(want)
