@@ -97,6 +97,115 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
     return raw.withColumn("file_name", F.element_at(F.split("member", "/"), -1))
 
 
+#: Bytes of a member that one row holds.
+CHUNK_BYTES = 1 << 20
+
+_LISTED = "path string, source string, member string, size bigint, packed binary, method int, crc bigint, error string"
+_CHUNKS = "path string, source string, member string, size bigint, chunk bigint, content binary, error string"
+
+
+def _packed(content: bytes, info: zipfile.ZipInfo) -> bytes:
+    """A member's stored bytes: behind its own header, whose name and extra field may differ in length."""
+    at = info.header_offset
+    header = content[at:at + 30]
+    if len(header) < 30 or header[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("Bad magic number for file header")
+    begin = at + 30 + int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little")
+    if begin + info.compress_size > len(content):
+        raise zipfile.BadZipFile("Member is cut off")
+    return content[begin:begin + info.compress_size]
+
+
+def list_members(archives: DataFrame) -> DataFrame:
+    """One row per wanted member of (path, content) archives, from their central directories.
+
+    ``packed`` holds the member's stored bytes only; nothing is unpacked here. An archive that
+    cannot be opened gives one row with ``error``.
+    """
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _LISTED.split(", ")]
+
+        def row(path, *values):
+            made = pd.DataFrame([(path, path.rsplit("/", 1)[-1], *values)], columns=names)
+            return made.astype({"size": "Int64", "method": "Int32", "crc": "Int64"})
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
+                except (zipfile.BadZipFile, TypeError) as failure:
+                    yield row(path, None, None, None, None, None, f"Archive could not be read: {failure}")
+                    continue
+                for info in infos:
+                    if info.is_dir() or not _wanted(info.filename):
+                        continue
+                    data, error = None, None
+                    try:
+                        if info.flag_bits & 1:
+                            raise zipfile.BadZipFile("Member is encrypted")
+                        data = _packed(content, info)
+                    except zipfile.BadZipFile as failure:
+                        error = f"Member could not be read: {failure}"
+                    yield row(path, info.filename, info.file_size, data, info.compress_type, info.CRC, error)
+
+    return archives.select("path", "content").mapInPandas(listed, _LISTED)
+
+
+def member_chunks(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The contents of listed members as rows of at most ``chunk_bytes``, numbered from 0.
+
+    Members are dealt over all tasks, so an archive's members are unpacked side by side, and a
+    member of any size is unpacked a chunk at a time. An empty member has one empty chunk. A member
+    whose bytes are broken has the chunks before the fault and then one with ``error``.
+    """
+    def unpacked(data: bytes, method: int, crc: int, size: int) -> Iterator[bytes]:
+        if method == zipfile.ZIP_STORED:
+            pieces = (data[at:at + chunk_bytes] for at in range(0, len(data), chunk_bytes))
+        elif method == zipfile.ZIP_DEFLATED:
+            def inflate():
+                machine, rest = zlib.decompressobj(-15), data
+                while not machine.eof:
+                    piece = machine.decompress(rest, chunk_bytes)
+                    if not piece and not machine.unconsumed_tail:
+                        break
+                    rest = machine.unconsumed_tail
+                    yield piece
+            pieces = inflate()
+        else:
+            raise NotImplementedError(f"compression method {method}")
+        held, seen, total = b"", 0, 0
+        for piece in pieces:
+            seen, total = zlib.crc32(piece, seen), total + len(piece)
+            held += piece
+            while len(held) > chunk_bytes:
+                yield held[:chunk_bytes]
+                held = held[chunk_bytes:]
+        if seen != crc or total != size:
+            raise zipfile.BadZipFile("Bad CRC-32")
+        yield held
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _CHUNKS.split(", ")]
+
+        def row(*values):
+            return pd.DataFrame([values], columns=names).astype({"size": "Int64", "chunk": "Int64"})
+
+        for batch in batches:
+            for path, source, member, size, data, method, crc, error in batch.itertuples(index=False):
+                head, at = (path, source, member, None if pd.isna(size) else int(size)), 0
+                if error is not None:
+                    yield row(*head, 0, None, error)
+                    continue
+                try:
+                    for content in unpacked(data, int(method), int(crc), int(size)):
+                        yield row(*head, at, content, None)
+                        at += 1
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError) as failure:
+                    yield row(*head, at, None, f"Member could not be read: {failure}")
+
+    return members.repartition("path", "member").mapInPandas(chunks, _CHUNKS)
+
+
 def inventory(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Source, file name, size in KB, type and input type of single files and ZIP members."""
     def rows(df, source, kind):

@@ -883,3 +883,56 @@ select checklist, {_flag('DEPLOY-002', "('Met', 'Partially Met')")} as "AZURE_RE
   {_flag('DEPLOY-006')} as "LONG_TERM_STORAGE_DISABLED" from items group by checklist""")
 def deployment_flags(spark, sf):
     return checklists.deployment_flags(_items(spark, sf, _ITEMS))
+
+
+# --- archives: all pages, packed by fifties, some under names that must not be unpacked --------
+
+_PAGE_MEMBER = """case page_id % 10 when 0 then '../' when 1 then '__MACOSX/' when 2 then 'a/.' when 3 then 'b/c/'
+  when 4 then '/' else '' end || 'page_' || cast(page_id as string) || case page_id % 10 when 5 then '.txt' when 6 then '.PDF'
+  else '.png' end"""
+_UNPACKED = "page_id % 10 not in (0, 1, 2, 4, 5)"
+
+
+def _page_archives(spark, sf):
+    """ZIP values of fifty pages each; every second archive is stored, the others are deflated."""
+    pages = table(spark, sf, "pages").select(
+        F.floor(F.col("page_id") / 50).alias("part"), F.expr(_PAGE_MEMBER).alias("member"), F.col("html").alias("body"))
+
+    def pack(rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        part, whole = int(rows["part"].iloc[0]), io.BytesIO()
+        kind = zipfile.ZIP_STORED if part % 2 else zipfile.ZIP_DEFLATED
+        with zipfile.ZipFile(whole, "w", kind) as archive:
+            for member, body in sorted(zip(rows["member"], rows["body"])):
+                archive.writestr(member, body or "")
+        return pd.DataFrame({"path": [f"/uploads/pages_{part}.zip"], "content": [whole.getvalue()]})
+
+    return pages.groupBy("part").applyInPandas(pack, "path string, content binary")
+
+
+@query("archive_contents", f"""
+select 'pages_' || cast(page_id // 50 as string) || '.zip' as source, {_PAGE_MEMBER} as member,
+  octet_length(encode(coalesce(html, ''))) as size, greatest(1, (octet_length(encode(coalesce(html, ''))) + 999) // 1000) as chunks,
+  md5(coalesce(html, '')) as digest from pages where {_UNPACKED}""")
+def archive_contents(spark, sf):
+    """Every page comes out of its archive whole, in chunks of at most a thousand bytes."""
+    chunks = artwork.member_chunks(artwork.list_members(_page_archives(spark, sf)), 1000).where("error is null")
+    # The bytes of a page, put together again by their numbers.
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", F.hex("content").alias("hex"))))
+    return chunks.groupBy("source", "member", "size").agg(
+        F.count(F.lit(1)).alias("chunks"),
+        F.md5(F.unhex(F.array_join(F.transform(ordered, lambda c: c["hex"]), ""))).alias("digest"))
+
+
+@query("archive_inventory", f"""
+select 'pages_' || cast(page_id // 50 as string) || '.zip' as "Source", 'page_' || page_id || case page_id % 10 when 6 then '.PDF'
+  else '.png' end as "File Name", round(octet_length(encode(coalesce(html, ''))) / 1024.0, 2)::double as "Size KB",
+  case page_id % 10 when 6 then 'pdf' else 'png' end as "Type", 'ZIP Member' as "Input Type" from pages where {_UNPACKED}""")
+def archive_inventory(spark, sf):
+    """The inventory of the same archives, read without unpacking a member."""
+    members = artwork.expand_archives(_page_archives(spark, sf), with_content=False)
+    return artwork.inventory(members.where("false"), members)
