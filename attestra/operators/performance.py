@@ -17,8 +17,9 @@ from attestra.constants import (
 from attestra.schema import SlaOptions
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def fixed(value: Column, digits: int) -> Column:
+    """A number with fixed digits; the last bits of an interpolation do not decide a tie."""
+    return F.format_string(f"%.{digits}f", F.round(value, 9))
 
 
 def _rounded(name: str, digits: int) -> Column:
@@ -35,7 +36,7 @@ def label_timings(timings: DataFrame, options: SlaOptions = SlaOptions()) -> Dat
     sla = options.sla()
     seconds = _clamped(F.col("processing_seconds"))
     within = seconds <= sla
-    text = F.concat(F.lit("Processed in "), _fixed(seconds, 3))
+    text = F.concat(F.lit("Processed in "), fixed(seconds, 3))
     return timings.withColumns({
         "processing_seconds": seconds,
         "sla_seconds": F.lit(sla),
@@ -212,14 +213,14 @@ def timing_acceptance(summary: DataFrame, options: SlaOptions = SlaOptions()) ->
     met = average & p95 & rate
     files = F.concat(c("total_files").cast("string"), F.lit(" timed label files. Average "))
     good = F.concat(
-        F.lit("Performance acceptance met for "), files, _fixed(c("average_seconds"), 3),
-        F.lit("s and p95 "), _fixed(c("p95_seconds"), 3),
+        F.lit("Performance acceptance met for "), files, fixed(c("average_seconds"), 3),
+        F.lit("s and p95 "), fixed(c("p95_seconds"), 3),
         F.lit("s were within configured targets."))
     bad = F.concat(
-        F.lit("Performance acceptance not met for "), files, _fixed(c("average_seconds"), 3),
+        F.lit("Performance acceptance not met for "), files, fixed(c("average_seconds"), 3),
         F.lit(f"s target {options.max_average_seconds:.3f}s; p95 "),
-        _fixed(c("p95_seconds"), 3), F.lit(f"s target {options.max_p95_seconds:.3f}s; breach rate "),
-        _fixed(c("sla_breach_rate"), 4), F.lit(f" target {options.max_breach_rate:.4f}."))
+        fixed(c("p95_seconds"), 3), F.lit(f"s target {options.max_p95_seconds:.3f}s; breach rate "),
+        fixed(c("sla_breach_rate"), 4), F.lit(f" target {options.max_breach_rate:.4f}."))
     return summary.withColumns({
         "average_target_seconds": F.lit(float(options.max_average_seconds)),
         "p95_target_seconds": F.lit(float(options.max_p95_seconds)),
@@ -241,12 +242,12 @@ def timing_evidence(accepted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     c = F.col
     tested = c("total_files") > 0
     count = F.concat(c("total_files").cast("string"), F.lit(" timed labels. Average "),
-                     _fixed(c("average_seconds"), 3))
+                     fixed(c("average_seconds"), 3))
     good = F.concat(F.lit("Performance evidence passed for "), count, F.lit("s and p95 "),
-                    _fixed(c("p95_seconds"), 3), F.lit("s were within configured targets."))
+                    fixed(c("p95_seconds"), 3), F.lit("s were within configured targets."))
     bad = F.concat(F.lit("Performance evidence did not pass for "), count, F.lit("s, p95 "),
-                   _fixed(c("p95_seconds"), 3), F.lit("s, and breach rate "),
-                   _fixed(c("sla_breach_rate"), 4), F.lit(" should be reviewed."))
+                   fixed(c("p95_seconds"), 3), F.lit("s, and breach rate "),
+                   fixed(c("sla_breach_rate"), 4), F.lit(" should be reviewed."))
     return accepted.select(
         *by, tested.alias("sla_tested"),
         (tested & (c("sla_breach_count") == 0)).alias("under_five_seconds_per_label"),

@@ -11,7 +11,8 @@ from attestra.operators import evidence
 from attestra.operators.redaction import policy_flags, redact_nested
 from attestra.plans.batch import BatchTables, run_manifest_batch
 from attestra.schema import RetentionOptions, SlaOptions
-from attestra.sinks.writers import write_package
+from attestra.sinks import markdown
+from attestra.sinks.writers import write_outputs
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,13 @@ def evaluate(batch: BatchTables, flags: dict | None = None, sla: SlaOptions = Sl
 
 def run_acceptance(manifest: DataFrame, texts: DataFrame, store: str,
                    flags: dict | None = None, sla: SlaOptions = SlaOptions(),
-                   retention: RetentionOptions = RetentionOptions()) -> AcceptanceRun:
-    """Verify, judge and write the evidence package below ``store``, a shared folder."""
+                   retention: RetentionOptions = RetentionOptions(), accessibility: DataFrame | None = None,
+                   deployment: DataFrame | None = None, created_on: str = "") -> AcceptanceRun:
+    """Verify, judge and write the evidence package below ``store``, a shared folder.
+
+    ``accessibility`` and ``deployment`` are checklist tables (``checklist, item_id, name, status``
+    and more); their tables and reports join the package if they are given.
+    """
     batch = run_manifest_batch(manifest, texts, store, sla=sla)
     run = evaluate(batch, flags, sla, retention)
     tables = {
@@ -67,5 +73,12 @@ def run_acceptance(manifest: DataFrame, texts: DataFrame, store: str,
         "acceptance": redact_nested(run.requirements, retention).withColumn(
             "metrics", F.to_json("metrics")),
     }
-    write_package(tables, f"{store}/package", retention)
+    lines = {"acceptance": markdown.acceptance_markdown(run.requirements, run.rollup, created_on)}
+    if accessibility is not None:
+        tables["accessibility"] = accessibility
+        lines["accessibility"] = markdown.accessibility_markdown(accessibility, created_on)
+    if deployment is not None:
+        tables["deployment"] = deployment
+        lines["deployment"] = markdown.deployment_markdown(deployment, created_on)
+    write_outputs(tables, lines, f"{store}/package", retention, as_json=("acceptance", "accessibility", "deployment"))
     return run

@@ -44,16 +44,30 @@ def write_markdown(lines: DataFrame, path: str,
     return True
 
 
-def write_package(tables: dict[str, DataFrame], folder: str,
-                  options: RetentionOptions = RetentionOptions()) -> DataFrame:
-    """Write every table as redacted CSV in its own directory, plus an index table."""
-    spark = next(iter(tables.values())).sparkSession
+def write_outputs(tables: dict[str, DataFrame], reports: dict[str, DataFrame], folder: str,
+                  options: RetentionOptions = RetentionOptions(), as_json: tuple[str, ...] = ()) -> DataFrame:
+    """Write an evidence package and return its index: ``output, format, path, written``.
+
+    Every table becomes redacted CSV in a folder of its own, those of ``as_json`` redacted JSON as
+    well, and every table of report lines Markdown. The index is written beside them. Nothing is
+    written when the policy forbids it, and no folder for a table without rows.
+    """
+    spark = next(iter({**tables, **reports}.values())).sparkSession
     index = []
+
+    def add(name, kind, written, path):
+        index.append((name, kind, path if written else "", written))
+
     for name, table in tables.items():
         path = f"{folder}/{name}_redacted_csv"
-        written = write_redacted_csv(table, path, options)
-        index.append((name, path if written else "", written))
-    manifest = spark.createDataFrame(index, "output string, path string, written boolean")
+        add(name, "csv", write_redacted_csv(table, path, options), path)
+        if name in as_json:
+            path = f"{folder}/{name}_redacted_json"
+            add(name, "json", write_redacted_json(table, path, options), path)
+    for name, lines in reports.items():
+        path = f"{folder}/{name}_redacted_md"
+        add(name, "markdown", write_markdown(lines, path, options), path)
+    manifest = spark.createDataFrame(index, "output string, format string, path string, written boolean")
     if options.can_write_evidence:
         manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/package_manifest_json")
     return manifest

@@ -11,13 +11,14 @@ from attestra.operators import checklists, evidence, matching, performance, qual
 from attestra.operators import reports as rp
 from attestra.plans import batch
 from attestra.schema import Application
-from attestra.sinks.writers import json_lines
+from attestra.sinks import markdown
+from attestra.sinks.writers import json_lines, write_outputs
 from attestra.sources import artwork
 from attestra.sources.label_text import label_text
 from attestra.sources.manifest import canonical_columns, typed_manifest
 from checks.fixture import FIXTURE, labels
 from checks.label_queries import CREATED, DETAILS, checked
-from checks.registry import query, table
+from checks.registry import query, scratch, table
 
 # --- manifest -----------------------------------------------------------------------------
 
@@ -885,6 +886,118 @@ def deployment_flags(spark, sf):
     return checklists.deployment_flags(_items(spark, sf, _ITEMS))
 
 
+# --- Markdown reports as keyed lines, and the package of outputs --------------------------------
+
+def _lines_sql(source, keys, section, position, lines):
+    """DuckDB SQL for one block of report lines per row of a table."""
+    listed = ", ".join(lines)
+    return (f"select {keys}{section}::int as section, {position} as position, (unnest(range(0, {len(lines)})))::int as ordinal, "
+            f"unnest([{listed}]) as line from {source}")
+
+
+def _item_sql(fields):
+    return _lines_sql("items", "checklist, ", 1, "item_id", [
+        "'### ' || item_id || ' - ' || name", "''", *[f"'- {label}: ' || {value}" for label, value in fields], "''"])
+
+
+def _half_up(x, digits=3):
+    """Fixed digits, ties away from zero by the decimal value, as Spark formats numbers."""
+    return f"cast(round(cast({x} as decimal(28, 9)), {digits}) as decimal(28, {digits}))::varchar"
+
+
+@query("timing_markdown", _stats(True) + ", a as (select *, average <= 5 and p95 <= 5 and breaches = 0 as met from st) " + _lines_sql(
+    "a", "batch_id, ", 0, "''", [
+        "'# Performance Summary'", "''", "'Total Files: ' || total_files", *[
+            f"'{label}: ' || {_half_up(name)}" for label, name in (
+                ("Average Seconds", "average"), ("Median Seconds", "p50"), ("P95 Seconds", "p95"), ("Maximum Seconds", "top"))],
+        "'SLA Seconds: 5.000'", "'SLA Breach Count: ' || breaches",
+        "'SLA Breach Rate: ' || " + _half_up('breaches / total_files', 4) + "", "''", "'## Acceptance'", "''",
+        "'Status: ' || case when met then 'Met' else 'Not Met' end",
+        "'Meets Acceptance: ' || case when met then 'True' else 'False' end",
+        "'Message: ' || case when met then 'Performance acceptance met for ' || total_files || ' timed label files. Average ' || "
+        "" + _half_up('average') + " || 's and p95 ' || " + _half_up('p95') + " || 's were within configured targets.' else "
+        "'Performance acceptance not met for ' || total_files || ' timed label files. Average ' || " + _half_up('average') + " || "
+        "'s target 5.000s; p95 ' || " + _half_up('p95') + " || 's target 5.000s; breach rate ' || "
+        "" + _half_up('breaches / total_files', 4) + " || ' target 0.0000.' end", "''"]))
+def timing_markdown(spark, sf):
+    accepted = performance.timing_acceptance(performance.timing_summary(_timings(spark, sf), by=("batch_id",)))
+    return markdown.timing_markdown(accepted, ("batch_id",))
+
+
+_DEPLOYMENT_HEAD = _lines_sql("""(select checklist, count(*) filter (status = 'Met') as met,
+  count(*) filter (status = 'Partially Met') as partly, count(*) filter (status = 'Not Met') as failed,
+  count(*) filter (status = 'Not Evaluated') as open from items group by checklist)""", "checklist, ", 0, "''", [
+    "'# Deployment Evidence'", "''", "'Created On: 2024-01-01'",
+    "'Overall Status: ' || case when failed > 0 then 'Not Met' when partly + open > 0 then 'Partially Met' else 'Met' end", "''",
+    "'## Status Counts'", "''", "'- Met: ' || met", "'- Partially Met: ' || partly", "'- Not Met: ' || failed",
+    "'- Not Evaluated: ' || open", "''", "'## Evidence Checks'", "''"])
+_UNIQUE = "items as (select checklist, item_id || '-' || name as item_id, name, status from (with {0} select * from items))"
+
+
+@query("deployment_markdown", f"with {_UNIQUE.format(_ITEMS)} {_DEPLOYMENT_HEAD} union all " + _item_sql((
+    ("Category", "''"), ("Status", "status"), ("Evidence", "''"), ("Recommendation", "''"), ("Path", "''"), ("Evaluated On", "''"))))
+def deployment_markdown(spark, sf):
+    items = _items(spark, sf, _ITEMS).withColumn("item_id", F.concat_ws("-", "item_id", "name"))
+    return markdown.deployment_markdown(items, "2024-01-01")
+
+
+_ACCESS_HEAD = _lines_sql("""(select checklist, count(*) filter (status = 'Pass') as passed, count(*) filter (status = 'Fail') as failed,
+  count(*) filter (status = 'Not Tested') as untested, count(*) filter (status = 'Not Applicable') as other
+  from items group by checklist)""", "checklist, ", 0, "''", [
+    "'# Accessibility Checklist'", "''", "'Created On: 2024-01-01'",
+    "'Accessibility Status: ' || case when failed > 0 then 'Not Met' when untested > 0 then 'Partially Met' else 'Met' end",
+    "'Message: ' || case when failed > 0 then failed || ' accessibility checklist item(s) failed and require remediation before acceptance.' "
+    "when untested > 0 then untested || ' accessibility checklist item(s) remain untested. Manual browser validation is required.' "
+    "else 'All applicable accessibility checklist items passed.' end", "''", "'## Summary'", "''",
+    "'- High Contrast Available: True'", "'- Large Text Available: True'", "'- Keyboard Check Required: True'",
+    "'- Passed Items: ' || passed", "'- Failed Items: ' || failed", "'- Untested Items: ' || untested",
+    "'- Not Applicable Items: ' || other", "''", "'## Checklist Items'", "''"])
+
+
+@query("accessibility_markdown", f"with {_CHECKS} {_ACCESS_HEAD} union all " + _item_sql((
+    ("Category", "''"), ("Status", "status"), ("Procedure", "''"), ("Expected Result", "''"), ("Notes", "notes"), ("Evaluated On", "''"))))
+def accessibility_markdown(spark, sf):
+    return markdown.accessibility_markdown(_items(spark, sf, _CHECKS), "2024-01-01", high_contrast=True, large_text=True)
+
+
+@query("acceptance_markdown")
+def acceptance_markdown(spark, sf):
+    """The lines of the requirement report; evidence_requirements and evidence_rollup compare its values."""
+    rows = _requirements(spark, sf)
+    return markdown.acceptance_markdown(rows, evidence.requirement_rollup(rows), "2024-01-01")
+
+
+@query("package_index", f"""with d as (with {_ITEMS} select * from items), a as (with {_CHECKS} select * from items)
+select output, format, written, records::bigint as records from (values
+  ('accessibility', 'csv', true, (select count(*) from a)), ('accessibility', 'json', true, (select count(*) from a)),
+  ('accessibility', 'markdown', true, (select 18 * count(distinct checklist) + 9 * count(*) from a)),
+  ('deployment', 'csv', true, (select count(*) from d)), ('deployment', 'json', true, (select count(*) from d)),
+  ('deployment', 'markdown', true, (select 14 * count(distinct checklist) + 9 * count(*) from d)),
+  ('performance', 'csv', true, (select count(*) from events)), ('nothing', 'csv', false, 0),
+  ('package_manifest', 'json', true, 8)) as t(output, format, written, records)""")
+def package_index(spark, sf):
+    """What a written package holds: the index, and how many records each output reads back as."""
+    access, deploy = _items(spark, sf, _CHECKS), _items(spark, sf, _ITEMS)
+    folder = scratch(spark)
+    index = write_outputs(
+        {"accessibility": access, "deployment": deploy, "performance": performance.performance_table(_timings(spark, sf)),
+         "nothing": deploy.where("false")},
+        {"accessibility": markdown.accessibility_markdown(access, "2024-01-01"),
+         "deployment": markdown.deployment_markdown(deploy, "2024-01-01")}, folder, as_json=("accessibility", "deployment"))
+    found = None
+    for name, kind in (("accessibility", "csv"), ("accessibility", "json"), ("accessibility", "md"), ("deployment", "csv"),
+                       ("deployment", "json"), ("deployment", "md"), ("performance", "csv")):
+        path = f"{folder}/{name}_redacted_{kind}"
+        read = spark.read.csv(path, header=True, escape='"') if kind == "csv" else spark.read.text(path)
+        counted = read.agg(F.count(F.lit(1)).alias("records")).select(
+            F.lit(name).alias("output"), F.lit("markdown" if kind == "md" else kind).alias("format"), "records")
+        found = counted if found is None else found.unionAll(counted)
+    listed = spark.read.json(f"{folder}/package_manifest_json").agg(F.count(F.lit(1)).alias("records")).select(
+        F.lit("package_manifest").alias("output"), F.lit("json").alias("format"), F.lit(True).alias("written"), "records")
+    return index.drop("path").join(found, ["output", "format"], "left").select(
+        "output", "format", "written", F.coalesce("records", F.lit(0)).alias("records")).unionAll(listed)
+
+
 # --- archives: all pages, packed by fifties, some under names that must not be unpacked --------
 
 _PAGE_MEMBER = """case page_id % 10 when 0 then '../' when 1 then '__MACOSX/' when 2 then 'a/.' when 3 then 'b/c/'

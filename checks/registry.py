@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     spread = spark.conf.get("attestra.spread", None)
     return frame if spread is None else frame.repartition(int(spread))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, for queries that write files and read them again."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/attestra-checks-{uuid.uuid4().hex}"
