@@ -65,12 +65,6 @@ def verification_exception_result(evidence) -> Column:
                    "The label could not be verified and requires human review.", evidence)
 
 
-def rule_unavailable_result() -> Column:
-    return review_result("rule_result_unavailable", "Rule Result", "Executable rule result",
-                   "Rule result creation failed",
-                   "A verification rule could not create its result.")
-
-
 def rules_unavailable_result() -> Column:
     return review_result("verification_rules_unavailable", "Verification Rules",
                    "Executable alcohol-label rule set", "Rule execution failed",

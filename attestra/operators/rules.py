@@ -21,7 +21,9 @@ from attestra.functions import extract, fuzzy
 from attestra.functions import text as tx
 from attestra.operators import warning as wn
 from attestra.operators.outcomes import rule_result
-from attestra.operators.results import unreadable_text_result
+from attestra.operators.results import (
+    rules_unavailable_result, unreadable_text_result, verification_exception_result, verification_unavailable_result,
+)
 from attestra.schema import RESULT, RuleOptions
 
 IMPORT_RULES = ("importer_present", "country_of_origin_present")
@@ -105,8 +107,8 @@ def with_signals(labels: DataFrame, options: RuleOptions = RuleOptions()) -> Dat
             F.when(c("_net_seen") != "", c("_net_wanted")), c("_net_seen")),
     })
     settled = scored.withColumns({
-        "_brand_score": F.when(c("_brand_in"), 100.0).otherwise(c("_brand_score")),
-        "_class_score": F.when(c("_class_in"), 100.0).otherwise(c("_class_score")),
+        "_brand_score": F.when(c("_brand_in"), 100.0).otherwise(F.coalesce(c("_brand_score"), F.lit(0.0))),
+        "_class_score": F.when(c("_class_in"), 100.0).otherwise(F.coalesce(c("_class_score"), F.lit(0.0))),
         "_similarity": F.when(c("_exact"), 100.0).otherwise(
             F.coalesce(c("_similarity"), F.lit(0.0))),
     })
@@ -176,24 +178,67 @@ def rule_columns(options: RuleOptions = RuleOptions()) -> dict[str, Column]:
     }
 
 
-def results_array(options: RuleOptions = RuleOptions()) -> Column:
-    """Thirteen results, two more for imports, or one when there is no readable text."""
+#: Ways into the verification; each has its own answer to input it cannot work with.
+FROM_FILE, FROM_TEXT, FROM_RULES = "file", "text", "rules"
+
+
+def input_error(entry: str, given: Column | None = None) -> Column:
+    """What is wrong with a row's input as ``(argument, message)``; null where nothing is.
+
+    ``given`` tells whether the row has an application. The error of one row leaves the others and
+    their rules alone.
+    """
+    application = F.lit(True) if given is None else F.coalesce(given, F.lit(False))
+    missing = [("application", ~application)]
+    if entry != FROM_FILE:
+        missing.append(("text", tx.blank(F.col("raw_text")) == ""))
+    if entry == FROM_TEXT:
+        missing.append(("file_name", tx.blank(F.col("file_name")) == ""))
+    return F.coalesce(*[F.when(wrong, F.struct(
+        F.lit(name).alias("argument"), F.lit(f'ValueError: Argument "{name}" cannot be empty!').alias("message")))
+        for name, wrong in missing])
+
+
+def fallback_result(entry: str, error: Column) -> Column:
+    """The one result of a row with an input error."""
+    if entry == FROM_FILE:
+        return verification_exception_result(error["message"])
+    return verification_unavailable_result() if entry == FROM_TEXT else rules_unavailable_result()
+
+
+def results_array(options: RuleOptions = RuleOptions(), entry: str = FROM_FILE, error: Column | None = None) -> Column:
+    """Thirteen results, two more for imports, or one for unreadable text or an input error.
+
+    The rule set by itself does not ask whether a text is readable.
+    """
     rules = rule_columns(options)
     common = [v for k, v in rules.items() if k not in IMPORT_RULES]
     extra = [rules[k] for k in IMPORT_RULES]
     imported = F.coalesce(F.col("imported"), F.lit(False))
     more = F.when(imported, F.array(*extra)).otherwise(F.array().cast(ArrayType(RESULT)))
-    return F.when(F.col("_readable"), F.concat(F.array(*common), more)).otherwise(
+    every = F.concat(F.array(*common), more)
+    done = every if entry == FROM_RULES else F.when(F.col("_readable"), every).otherwise(
         F.array(unreadable_text_result(F.col("image_quality_notes"))))
+    if error is None:
+        return done
+    return F.when(error.isNotNull(), F.array(fallback_result(entry, error))).otherwise(done)
 
 
-def verify_labels(labels: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
+def verify_labels(labels: DataFrame, options: RuleOptions = RuleOptions(), entry: str = FROM_FILE,
+                  given: Column | None = None) -> DataFrame:
     """Add ``results`` to rows that hold an application and its label text.
 
-    Expects the manifest columns plus ``raw_text`` and ``image_quality_notes``.
+    Expects the manifest columns plus ``raw_text`` and ``image_quality_notes``. ``given`` tells
+    which rows have an application at all; a row without one, and a blank text where ``entry`` says
+    that there must be one, has a single result that asks for review.
     """
-    checked = with_signals(labels, options).withColumn("results", results_array(options))
-    return checked.select(*labels.columns, "results")
+    checked = with_signals(labels, options)
+    error = None
+    if given is not None or entry != FROM_FILE:
+        checked = checked.withColumn("_error", input_error(entry, given))
+        error = F.col("_error")
+    done = checked.withColumn("results", results_array(options, entry, error))
+    return done.select(*labels.columns, "results")
 
 
 def rule_table(labels: DataFrame, rule_id: str,

@@ -11,7 +11,7 @@ from attestra.constants import MANUAL_FILE_NAME
 from attestra.functions.extract import clean_lines, extracted_fields
 from attestra.operators import matching, performance, reports
 from attestra.operators.results import missing_file_result
-from attestra.operators.rules import verify_labels
+from attestra.operators.rules import FROM_FILE, FROM_TEXT, verify_labels
 from attestra.schema import Application, RuleOptions, SlaOptions
 from attestra.sources.label_text import label_text
 
@@ -108,7 +108,8 @@ def verify_application(application: Application, texts: DataFrame,
     kinds = {"alcohol_content": "double", "proof": "double", "imported": "boolean"}
     values = {k: F.lit(v).cast(kinds.get(k, "string")) for k, v in asdict(application).items()}
     labels = label_text(texts, manual=manual).withColumns(values)
-    return _finish(verify_labels(labels, options), created_on)
+    # Text that was supplied must be there; recognized text may be missing and is then reviewed.
+    return _finish(verify_labels(labels, options, FROM_TEXT if manual else FROM_FILE), created_on)
 
 
 def verify_text(spark, application: Application, text: str, file_name: str = MANUAL_FILE_NAME,

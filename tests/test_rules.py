@@ -76,11 +76,14 @@ def test_altered_and_lower_case_warning(spark):
 def test_other_beverages_and_unreadable_text(spark):
     got, _ = verify(spark, "12% ABV", Application(beverage_type="Wine"))
     assert got["proof_present"]["status"] == got["proof_consistency"]["status"] == "Not Applicable"
-    for text in ("", " \n\t"):
-        rows, table = verify(spark, text)
-        assert list(rows) == ["ocr_text_extraction"]
-        assert rows["ocr_text_extraction"]["evidence"].startswith("Manual text")
-        assert table.select(rp.overall_status(F.col("results"))).first()[0] == "Needs Review"
+    rows, table = verify(spark, " \n\t")
+    assert list(rows) == ["ocr_text_extraction"]
+    assert rows["ocr_text_extraction"]["evidence"].startswith("Manual text")
+    assert table.select(rp.overall_status(F.col("results"))).first()[0] == "Needs Review"
+    # Direct text that is missing is an input error, not an unreadable label.
+    rows, table = verify(spark, "")
+    assert list(rows) == ["verification_unavailable"]
+    assert table.select(rp.overall_status(F.col("results"))).first()[0] == "Needs Review"
 
 
 def test_failure_counts_as_review_too(spark):
@@ -106,3 +109,35 @@ def test_rules_run_each_python_step_once_and_without_shuffle(spark):
     labels = df.withColumns({k: F.lit(v) for k, v in vars(APP).items()})
     plan = rp.detail_rows(rules.verify_labels(labels))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and "Exchange" not in plan  # folding, scores
+
+
+def test_rows_that_cannot_be_verified_get_one_result(spark):
+    from attestra.operators import rules
+    from attestra.plans.batch import verify_text
+    from attestra.schema import Application
+
+    rows = [(k, name, text, given) for k, (name, text, given) in enumerate([
+        ("a.png", "OLD OAK", True), ("a.png", "OLD OAK", False), ("a.png", None, True), ("", "OLD OAK", True), ("a.png", " \n", True),
+        (None, None, None)])]
+    labels = spark.createDataFrame(rows, "k int, file_name string, raw_text string, given boolean").selectExpr(
+        "*", "'Old Oak' as brand_name", "'Vodka' as class_type", "'Distilled Spirits' as beverage_type", "40.0d as alcohol_content",
+        "80.0d as proof", "'750 mL' as net_contents", "'Oak' as producer_bottler", "false as imported", "'' as importer",
+        "'' as country_of_origin", "array() as image_quality_notes")
+    every = "brand_name_match"
+    want = {
+        "file": [every, "verification_exception", "ocr_text_extraction", every, "ocr_text_extraction", "verification_exception"],
+        "text": [every, "verification_unavailable", "verification_unavailable", "verification_unavailable", "ocr_text_extraction",
+                 "verification_unavailable"],
+        "rules": [every, "verification_rules_unavailable", "verification_rules_unavailable", every, every,
+                  "verification_rules_unavailable"]}
+    for entry, ids in want.items():
+        done = sorted(rules.verify_labels(labels, entry=entry, given=F.col("given")).collect(), key=lambda r: r["k"])
+        assert [r["results"][0]["rule_id"] for r in done] == ids
+        for r, rule in zip(done, ids):
+            assert len(r["results"]) == (13 if rule == every else 1)
+            assert rule == every or (r["results"][0]["status"], r["results"][0]["confidence"]) == ("Needs Review", 0.0)
+            assert all(x["confidence"] is not None for x in r["results"])
+        if entry == "file":
+            assert done[1]["results"][0]["evidence"] == 'ValueError: Argument "application" cannot be empty!'
+    report = verify_text(spark, Application(brand_name="Old Oak"), "").first()
+    assert [r["rule_id"] for r in report["results"]] == ["verification_unavailable"]
