@@ -15,10 +15,10 @@ from attestra.sinks import markdown
 from attestra.sinks.writers import json_lines, write_outputs
 from attestra.sources import artwork
 from attestra.sources.label_text import label_text
-from attestra.sources.manifest import canonical_columns, typed_manifest
+from attestra.sources.manifest import canonical_columns, load_manifest, typed_manifest
 from checks.fixture import FIXTURE, labels
 from checks.label_queries import CREATED, DETAILS, checked
-from checks.registry import query, scratch, table
+from checks.registry import SQL, query, scratch, table
 
 # --- manifest -----------------------------------------------------------------------------
 
@@ -65,6 +65,22 @@ def manifest_typed(spark, sf):
     return typed.withColumn("cola_id", F.substring("cola_id", 1, 10))
 
 
+@query("manifest_files", f"""
+with t as ({SQL["manifest_typed"]})
+select file_name, brand_name || case when brand_name <> '' then ' é' else '' end as brand_name, class_type, beverage_type,
+  alcohol_content, proof, net_contents, producer_bottler, imported, importer, country_of_origin, cola_id, notes from t""")
+def manifest_files(spark, sf):
+    """The same manifest from CSV files: half of it in UTF-8, half in Latin-1, found out by the probe."""
+    folder = scratch(spark)
+    brand = F.when(F.col("Brand") == "N/A", F.col("Brand")).otherwise(F.concat("Brand", F.lit("é ")))
+    raw = _raw_manifest(spark, sf).withColumn("Brand", brand)
+    for part, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        raw.where(F.col("row_id") % 2 == part).drop("row_id").write.csv(
+            f"{folder}/{part}", header=True, escape='"', encoding=encoding)
+    typed = load_manifest(spark, [f"{folder}/0", f"{folder}/1"], multi_line=False)
+    return typed.drop("row_id").withColumn("cola_id", F.substring("cola_id", 1, 10))
+
+
 # --- names: manifest rows repeat under other cases, uploads are renamed, repeated and extra --
 
 MANIFEST = f"""
