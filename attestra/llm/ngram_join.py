@@ -35,13 +35,18 @@ BLOCK = 512
 
 
 def choose_bands(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
-    """Bands and rows: the most rows per band (fewest false candidates) whose bands reach the recall."""
-    best = (1, 1)
-    for rows in range(1, 33):
-        bands = int(np.ceil(np.log1p(-recall) / np.log1p(-(threshold ** rows))))
-        if bands * rows <= most:
-            best = (bands, rows)
-    return best
+    """Bands and rows: the most rows per band (fewest false candidates) whose bands reach the recall.
+
+    Up to ``most`` hashes; a threshold so low that not even bands of one row fit gets as many of
+    those as the recall asks for.
+    """
+    def bands(rows: int) -> int:
+        return int(np.ceil(np.log1p(-recall) / np.log1p(-(threshold ** rows))))
+
+    if not 0 < threshold < 1 or not 0 < recall < 1:
+        raise ValueError("threshold and recall must lie between 0 and 1")
+    rows = max((r for r in range(1, 33) if bands(r) * r <= most), default=1)
+    return bands(rows), rows
 
 
 def minhash_bands(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:

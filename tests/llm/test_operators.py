@@ -561,8 +561,34 @@ def test_jaccard_join_equals_brute_force(spark, docs, nothing, monkeypatch):
 
 
 def test_bands_reach_the_recall():
-    bands, rows = ngram_join.choose_bands(0.8, 0.9995)
-    assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9995
+    assert ngram_join.choose_bands(0.8, 0.9995) == (26, 6)
+    for threshold in (0.01, 0.04, 0.3, 0.8, 0.99):
+        bands, rows = ngram_join.choose_bands(threshold, 0.9995)
+        assert 1 - (1 - threshold ** rows) ** bands >= 0.9995
+    for threshold in (0, 1, -1):
+        with pytest.raises(ValueError):
+            ngram_join.choose_bands(threshold, 0.9995)
+
+
+def test_sessions_without_a_checkpoint_folder():
+    from attestra.llm import common
+
+    class Session:
+        """A session whose settings are empty and cannot be changed."""
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "local[2]"
+
+    first, second = common.shared_dir(Session), common.shared_dir(Session)
+    assert first != second and first.rpartition("/")[0] == second.rpartition("/")[0]
+    Session.sparkContext.master = "spark://somewhere"
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
 
 
 # --- registered queries and the pipeline -------------------------------------------------------
