@@ -1,7 +1,8 @@
 """Requirement statuses from run facts and posture flags, and their roll-ups.
 
 Facts and flags are one-row tables, so a gate is a ``when`` chain over one row and the
-requirement table is that row exploded.
+requirement table is that row exploded. Requirement names, evidence and
+recommendation texts are fixed values.
 """
 
 from __future__ import annotations

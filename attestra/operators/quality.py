@@ -1,4 +1,7 @@
-"""Image quality: pixel statistics, readability score, warnings, verdict and notes."""
+"""Image quality: pixel statistics, readability score, warnings, verdict and notes.
+
+Warnings, recommendations and notes are fixed values.
+"""
 
 from __future__ import annotations
 
