@@ -42,6 +42,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(settled: DataFrame) -> None:
+    """Delete the folder of a settled table; what was made from it must have been settled itself."""
+    spark = settled.sparkSession
+    for folder in {f.rpartition("/")[0] for f in settled.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("attestra-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle_by(df: DataFrame, key: str) -> DataFrame:
     """As ``settle``, in buckets of ``key``: later joins on it do not shuffle these rows again."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_row, content_key, settle, settle_by, text_or_empty
+from attestra.llm.common import as_row, content_key, discard, settle, settle_by, text_or_empty
 from attestra.llm.groups import map_groups
 from attestra.llm.suffix_array import repeated_starts
 
@@ -135,33 +135,60 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
         find, "key string, anchors array<long>, firsts array<long>, lasts array<long>, several array<boolean>")
 
 
-def cut_pieces(texts: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """A row per range of ``key, text, ranges``: ``key, anchor, first, bytes, piece_id`` or its text."""
-    names = ["key", "anchor", "first", "bytes", "piece" if with_text else "piece_id"]
+def piece_numbers(pieces: list[bytes]) -> np.ndarray:
+    """64 bits that tell the pieces of one anchor apart; with the anchor's own 64 they name a piece."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), dtype=np.uint64, count=len(pieces)).view(np.int64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
+    """``key, anchor, first, bytes, piece_id`` for each range of ``key, text, ranges``."""
+    def cut(raw: np.ndarray, begin: int, r: dict) -> tuple[tuple, bytes]:
+        piece = raw[begin + r["first"]:begin + r["last"] + length].tobytes()
+        return (r["anchor"], r["first"], len(piece)), piece
+
+    def named(rows: list[tuple], pieces: list[bytes]) -> list[pa.Array]:
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        return [*columns, pa.array(piece_numbers(pieces))]
+
+    return _mapped_ranges(texts, cut, named, ["anchor", "first", "bytes", "piece_id"],
+                          "key string, anchor long, first long, bytes long, piece_id long", True)
+
+
+def piece_texts(texts: DataFrame, length: int) -> DataFrame:
+    """``shard, anchor, piece_id, split, piece`` for each range of ``key, text, ranges``."""
+    def cut(raw: np.ndarray, begin: int, r: dict) -> tuple[tuple, bytes]:
+        return (r["shard"], r["anchor"], r["piece_id"], r["split"]), raw[
+            begin + r["first"]:begin + r["last"] + length].tobytes()
+
+    def named(rows: list[tuple], pieces: list[bytes]) -> list[pa.Array]:
+        kinds = [pa.int64()] * 3 + [pa.bool_()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return [*columns, pa.array(pieces, pa.binary())]
+
+    return _mapped_ranges(texts, cut, named, ["shard", "anchor", "piece_id", "split", "piece"],
+                          "shard long, anchor long, piece_id long, split boolean, piece binary", False)
+
+
+def _mapped_ranges(texts: DataFrame, cut, named, names: list[str], schema: str, with_key: bool) -> DataFrame:
+    """Rows of all ranges, about ``SLICE_BYTES`` of pieces at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = _bytes_of(batch.column(1))
             ranges = batch.column(2)
-            held: list[tuple[int, int, int, bytes]] = []
-            total = 0
+            owners, rows, pieces, total = [], [], [], 0
             for row in range(batch.num_rows):
                 for r in ranges[row].as_py():
-                    begin = offsets[row] + r["first"]
-                    piece = raw[begin:offsets[row] + r["last"] + length].tobytes()
-                    held.append((row, r["anchor"], r["first"], piece))
+                    values, piece = cut(raw, int(offsets[row]), r)
+                    owners.append(row)
+                    rows.append(values)
+                    pieces.append(piece)
                     total += len(piece)
-                if total > SLICE_BYTES or row == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([h[0] for h in held], pa.int32())),
-                         pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int64()),
-                         pa.array([len(h[3]) for h in held], pa.int64()),
-                         pa.array([h[3] for h in held], pa.binary()) if with_text else
-                         pa.array([xxhash.xxh3_128_hexdigest(h[3]) for h in held], pa.string())], names=names)
-                    held, total = [], 0
+                if rows and (total > SLICE_BYTES or row == batch.num_rows - 1):
+                    keys = [batch.column(0).take(pa.array(owners, pa.int32()))] if with_key else []
+                    yield pa.RecordBatch.from_arrays([*keys, *named(rows, pieces)], names=["key"] * with_key + names)
+                    owners, rows, pieces, total = [], [], [], 0
 
-    return texts.mapInArrow(cut, "key string, anchor long, first long, bytes long, " + (
-        "piece binary" if with_text else "piece_id string"))
+    return texts.mapInArrow(run, schema)
 
 
 def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -173,7 +200,7 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
                     strict=True))
 
 
-SHARD_ROWS = ("shard long, anchor long, piece_id string, low long, high long, classes array<struct<print: string, "
+SHARD_ROWS = ("shard long, anchor long, piece_id long, low long, high long, classes array<struct<print: string, "
               "at: long, open: boolean>>")
 
 
@@ -213,7 +240,7 @@ def shard_repeats(length: int):
                     row(k, None, None, prints)
         shard = table["shard"][0].as_py()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(out["anchor"]), pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["piece_id"], pa.string()),
+            [pa.array([shard] * len(out["anchor"]), pa.int64()), pa.array(out["anchor"], pa.int64()), pa.array(out["piece_id"], pa.int64()),
              pa.array(out["low"], pa.int64()), pa.array(out["high"], pa.int64()),
              pa.array(out["classes"], pa.list_(pa.struct([("print", pa.string()), ("at", pa.int64()),
                                                           ("open", pa.bool_())])))],
@@ -286,7 +313,8 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
     anchors = settle(find_anchors(named, length))
     # Copies have the same anchors; a class needs them once, but a long text has several rows.
-    once = anchors.select("key", F.explode(F.arrays_zip("anchors", "firsts", "lasts", "several")).alias("r")).select(
+    # Keys travel as their 16 bytes.
+    once = anchors.select(F.unhex("key").alias("key"), F.explode(F.arrays_zip("anchors", "firsts", "lasts", "several")).alias("r")).select(
         "key", F.col("r.anchors").alias("anchor"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"),
         F.col("r.several").alias("several"))
     text = F.xxhash64("key")
@@ -294,7 +322,8 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
         F.min(text).alias("a"), F.max(text).alias("b"), F.min("first").alias("c"), F.max("first").alias("d"),
         F.max("several").alias("e")).where("a <> b or c <> d or e").select("anchor")
     wanted = settle(once.join(repeated, "anchor").groupBy("key").agg(F.array_sort(F.collect_set(
-        F.struct("first", "last", "anchor"))).alias("ranges")))
+        F.struct("first", "last", "anchor"))).alias("ranges")).withColumn("key", F.lower(F.hex("key"))))
+    discard(anchors)
     chosen = wanted.join(classes, "key").select(F.col("key").alias("wanted"), "least", "copies", "ranges")
     texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted"))).select(
         "key", "text", "ranges", "copies")
@@ -302,7 +331,7 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
         texts = texts.dropDuplicates(["key"])
     texts = settle_by(texts, "key")
 
-    uses = settle(cut_pieces(texts.select("key", "text", "ranges"), length, False))
+    uses = settle(cut_pieces(texts.select("key", "text", "ranges"), length))
     different = settle(uses.groupBy("anchor", "piece_id").agg(
         F.min(F.struct("key", "first")).alias("at"), F.first("bytes").alias("bytes"),
         F.count(F.lit(1)).alias("uses")))
@@ -318,11 +347,10 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
              .withColumn("shard", F.pmod(F.xxhash64("anchor", "share"), F.lit(shards)))
              .select(F.col("at.key").alias("key"), F.col("at.first").alias("first"), "anchor", "piece_id", "bytes",
                      "split", "shard"))
-    dealt = settle(dealt)
+    # A text's pieces bring their shard along, so their bytes move once.
     places = dealt.groupBy("key").agg(F.collect_list(F.struct(
-        "first", (F.col("first") + F.col("bytes") - length).alias("last"), "anchor")).alias("ranges"))
-    pieces = cut_pieces(texts.select("key", "text").join(places, "key"), length, True)
-    pieces = pieces.join(dealt.select("key", "anchor", "first", "piece_id", "split", "shard"), ["key", "anchor", "first"])
+        "first", (F.col("first") + F.col("bytes") - length).alias("last"), "anchor", "piece_id", "split", "shard")).alias("ranges"))
+    pieces = piece_texts(texts.select("key", "text").join(places, "key"), length)
     found = settle(map_groups(pieces.select("shard", "anchor", "piece_id", "split", "piece"), ["shard"],
                               shard_repeats(length), SHARD_ROWS))
     classes_at = found.where(F.col("classes").isNotNull()).select(
@@ -333,7 +361,7 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
     merged = map_groups(
         classes_at.withColumn("run", F.pmod(F.xxhash64("print"), F.lit(runs))).select(
             "run", "shard", "anchor", "piece_id", "print", "at", "open"),
-        ["run"], merge_shards, "anchor long, piece_id string, low long, high long")
+        ["run"], merge_shards, "anchor long, piece_id long, low long, high long")
     ranges = found.where(F.col("low").isNotNull()).select("anchor", "piece_id", "low", "high").unionByName(merged)
     # A piece that several places share repeats as a whole.
     shared = different.where("uses > 1").select(
