@@ -250,7 +250,7 @@ def group_variants(words: DataFrame, ratio: int = 2, longest: int = LONGEST) ->
     A word's form is its most frequent near word, if that is at least ``ratio`` times as frequent.
     Words need at least ``longest`` characters.
     """
-    pairs = near_pairs(words, longest)
+    pairs = settle(near_pairs(words, longest))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("n_other")).unionAll(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("n_other")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(
