@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.constants import WARNING_TEXT
+from attestra.sources.spread import spread
 from checks.registry import table
 
 _WARNING_SQL = WARNING_TEXT.replace("'", "''")
@@ -98,7 +99,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application values and label text, one row per label."""
     # The {part} and {nation} slots take frames; braces occur nowhere else in the text.
     query = FIXTURE.replace("from part join nation", "from {part} join {nation}")
-    rows = spark.sql(query, part=table(spark, sf_dir, "part"),
+    rows = spark.sql(query, part=spread(table(spark, sf_dir, "part"), "p_partkey"),
                      nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
     note = F.col("quality_note")
     empty = F.array().cast("array<string>")
