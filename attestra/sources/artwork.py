@@ -59,6 +59,25 @@ def _wanted(member: str) -> bool:
         parts[-1][0] != "." and parts[-1].rpartition(".")[2].lower() in ARTWORK_TYPES)
 
 
+#: Rows that go to Spark at once, and the bytes at which fewer go.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Rows as frames: a frame costs as much as unpacking hundreds of small members."""
+    kinds = dict(c.split() for c in schema.split(", "))
+    whole = {name: {"bigint": "Int64", "int": "Int32"}[kind] for name, kind in kinds.items() if kind.endswith("int")}
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pd.DataFrame(held, columns=list(kinds)).astype(whole)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=list(kinds)).astype(whole)
+
+
 def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame:
     """The supported file members of ZIP archives given as (path, content) rows.
 
@@ -67,12 +86,10 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
     them stay. One value holds an archive or a member, so either must stay below 2 GB.
     """
 
-    def row(path, member, size, content, error):
-        return pd.DataFrame({
-            "source": [path.rsplit("/", 1)[-1]], "member": [member],
-            "size": pd.array([size], dtype="Int64"), "content": [content], "error": [error]})
+    def row(path, *values):
+        return (path.rsplit("/", 1)[-1], *values)
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
@@ -93,7 +110,7 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
                                 error = f"Member could not be read: {failure}"
                         yield row(path, info.filename, info.file_size, data, error)
 
-    raw = archives.select("path", "content").mapInPandas(members, _MEMBERS)
+    raw = archives.select("path", "content").mapInPandas(lambda batches: _frames(members(batches), _MEMBERS), _MEMBERS)
     return raw.withColumn("file_name", F.element_at(F.split("member", "/"), -1))
 
 
@@ -122,13 +139,10 @@ def list_members(archives: DataFrame) -> DataFrame:
     ``packed`` holds the member's stored bytes only; nothing is unpacked here. An archive that
     cannot be opened gives one row with ``error``.
     """
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _LISTED.split(", ")]
-
-        def row(path, *values):
-            made = pd.DataFrame([(path, path.rsplit("/", 1)[-1], *values)], columns=names)
-            return made.astype({"size": "Int64", "method": "Int32", "crc": "Int64"})
+    def row(path, *values):
+        return (path, path.rsplit("/", 1)[-1], *values)
 
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
@@ -148,7 +162,7 @@ def list_members(archives: DataFrame) -> DataFrame:
                         error = f"Member could not be read: {failure}"
                     yield row(path, info.filename, info.file_size, data, info.compress_type, info.CRC, error)
 
-    return archives.select("path", "content").mapInPandas(listed, _LISTED)
+    return archives.select("path", "content").mapInPandas(lambda batches: _frames(listed(batches), _LISTED), _LISTED)
 
 
 def member_chunks(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -184,26 +198,22 @@ def member_chunks(members: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFra
             raise zipfile.BadZipFile("Bad CRC-32")
         yield held
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _CHUNKS.split(", ")]
-
-        def row(*values):
-            return pd.DataFrame([values], columns=names).astype({"size": "Int64", "chunk": "Int64"})
-
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, source, member, size, data, method, crc, error in batch.itertuples(index=False):
                 head, at = (path, source, member, None if pd.isna(size) else int(size)), 0
                 if error is not None:
-                    yield row(*head, 0, None, error)
+                    yield (*head, 0, None, error)
                     continue
                 try:
                     for content in unpacked(data, int(method), int(crc), int(size)):
-                        yield row(*head, at, content, None)
+                        yield (*head, at, content, None)
                         at += 1
                 except (zipfile.BadZipFile, zlib.error, NotImplementedError) as failure:
-                    yield row(*head, at, None, f"Member could not be read: {failure}")
+                    yield (*head, at, None, f"Member could not be read: {failure}")
 
-    return members.repartition("path", "member").mapInPandas(chunks, _CHUNKS)
+    return members.repartition("path", "member").mapInPandas(
+        lambda batches: _frames(chunks(batches), _CHUNKS), _CHUNKS)
 
 
 def inventory(files: DataFrame, members: DataFrame | None = None) -> DataFrame:
