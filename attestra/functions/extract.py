@@ -30,7 +30,8 @@ def clean_lines(text: Column) -> Column:
     """Non-blank, single-spaced lines joined by a newline."""
     joined = F.regexp_replace(
         blank(text), rf"(?U)[\s\x1c-\x1f]*[{_BREAK}][\s\x1c-\x1f]*", "\n")
-    spaced = F.regexp_replace(joined, r"(?U)[[\s\x1c-\x1f]&&[^\n]]+", " ")
+    spaced = F.regexp_replace(
+        joined, r"(?U)[[\s\x1c-\x1f]&&[^\n ]][[\s\x1c-\x1f]&&[^\n]]*| [[\s\x1c-\x1f]&&[^\n]]+", " ")
     return F.btrim(spaced, F.lit(" \n"))
 
 

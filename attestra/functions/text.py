@@ -21,8 +21,12 @@ from attestra.constants import ABV_REPLACEMENTS, CAPS_PREFIX_PATTERN, NET_REPLAC
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Unicode white space plus the four ASCII separators that Java leaves out.
-SPACES = r"(?U)[\s\x1c-\x1f]+"
-ASCII_SPACES = r"[\s\x1c-\x1f]+"
+# A lone space, the usual case, becomes itself and is no match.
+SPACES = r"(?U)[[\s\x1c-\x1f]&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+ASCII_SPACES = SPACES.removeprefix("(?U)")
+#: The same white space, character by character.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -60,7 +64,7 @@ def collapse_spaces(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(blank(value), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(blank(value), F.lit(STRIPPED))
 
 
 def fold_apostrophes(value: Column) -> Column:
@@ -76,7 +80,7 @@ def normalize_folded(folded: Column) -> Column:
 
 def match_folded(folded: Column) -> Column:
     """``normalize_for_match`` for a value that ``fold_ascii`` already produced."""
-    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9 ][^a-z0-9]*| [^a-z0-9]+", " "))
 
 
 def normalize_text(value: Column) -> Column:
@@ -161,7 +165,9 @@ def context_of(text: Column, phrase: Column, window: int = 80) -> Column:
 
 def extract_context(text: Column, phrase: Column, window: int = 80) -> Column:
     both = (F.length(blank(text)) > 0) & (F.length(blank(phrase)) > 0) & F.lit(window != 0)
-    found = context_of(normalize_text(text), normalize_text(phrase), window)
+    # Elements of an array are made once, however often the function reads them.
+    forms = F.array(F.struct(normalize_text(text).alias("text"), normalize_text(phrase).alias("phrase")))
+    found = F.get(F.transform(forms, lambda f: context_of(f["text"], f["phrase"], window)), F.lit(0))
     return F.when(both, found).otherwise("")
 
 

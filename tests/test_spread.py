@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from attestra.functions import text as tx
+from attestra.sources import artwork
 from attestra.sources.spread import spread
 from checks.fixture import labels
 
@@ -22,3 +24,26 @@ def test_labels_of_one_part_file_make_several_tasks(spark):
     made = labels(spark, "/root/testdata/sf0.1")
     assert made.rdd.getNumPartitions() == 10
     assert made.select("row_id").distinct().count() == 20_000
+
+
+def test_context_makes_each_form_once(spark):
+    rows = spark.createDataFrame([("a  The\tRed  Fox b", "red fox")], "t string, p string")
+    found = rows.select(tx.extract_context(F.col("t"), F.col("p"), 4).alias("c"))
+    assert found.first()["c"] == "the red fox b"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") == 2  # one per value
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    rows = spark.createDataFrame([("  \x1c　a  b\u0085\n",), ("  ",), (None,)], "v string")
+    stripped = rows.select(tx.strip(F.col("v")).alias("s"))
+    assert [r["s"] for r in stripped.collect()] == ["a  b", "", ""]
+    assert "regexp" not in stripped._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_small_members_leave_in_one_frame():
+    rows = [("a.zip", "a.zip", f"m{k}", 3, 0, b"abc", None) for k in range(2_500)]
+    frames = list(artwork._frames(iter(rows), artwork._CHUNKS))
+    assert [len(f) for f in frames] == [1_000, 1_000, 500]
+    large = [(*r[:5], b"x" * (3 << 20), None) for r in rows[:5]]
+    assert [len(f) for f in artwork._frames(iter(large), artwork._CHUNKS)] == [2, 2, 1]
