@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 3072  # text characters per lane; longer texts continue in the next lane
 PAD_TEXT = 0  # letters are numbered from 1
+LETTERS = 1 << 20  # letters of needles and texts scored at once
 CELLS = 24576  # needle rows x lanes swept together, sized to stay in the CPU cache
 
 
@@ -114,6 +115,20 @@ def _best_window(needle: int, start: np.ndarray) -> float:
     return 200.0 * best
 
 
+def _shares(work: list):
+    """Successive parts of ``(slot, needle, text)`` rows with at most ``LETTERS`` or one row each."""
+    part, letters = [], 0
+    for row in work:
+        size = len(row[1]) + len(row[2])
+        if part and letters + size > LETTERS:
+            yield part
+            part, letters = [], 0
+        part.append(row)
+        letters += size
+    if part:
+        yield part
+
+
 def partial_ratios(pairs: list) -> list:
     """Scores of (needle, text) string pairs; None where either side is None."""
     scores = [None] * len(pairs)
@@ -134,11 +149,16 @@ def partial_ratios(pairs: list) -> list:
             owner.append(0.0)
             scores[index] = slot
             short, long = (a, b) if len(a) <= len(b) else (b, a)
-            work.append((slot, _codes(short), _codes(long)))
+            work.append((slot, short, long))
             if len(a) == len(b):
-                work.append((slot, _codes(long), _codes(short)))
-    for (slot, short, _), start in zip(work, _column_starts([w[1:] for w in work])):
-        owner[slot] = max(owner[slot], _best_window(len(short), start))
+                work.append((slot, long, short))
+    # Codes and strands take some thirty bytes a letter, so only so many letters are scored at once,
+    # those of like lengths together.
+    work.sort(key=lambda row: (len(row[1]), len(row[2])))
+    for group in _shares(work):
+        for (slot, a, b), start in zip(group, _column_starts(
+                [(_codes(a), _codes(b)) for _, a, b in group])):
+            owner[slot] = max(owner[slot], _best_window(len(a), start))
     return [owner[s] if isinstance(s, int) else s for s in scores]
 
 

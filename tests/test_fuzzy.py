@@ -97,3 +97,14 @@ def test_ratios_of_many_lanes_equal_dynamic_programming():
     pairs += [(b, a) for a, b in pairs]
     want = [None if a is None or b is None else 100.0 if a == b else 200.0 * common(a, b) / (len(a) + len(b)) for a, b in pairs]
     assert fuzzy.ratios(pairs) == pytest.approx(want)
+
+
+def test_letters_scored_at_once_are_bounded(monkeypatch):
+    pairs = [("abcd", f"{k:05d}ab{k % 7}cd") for k in range(500)] + [("abcd", "x" * 300), (None, "a"), ("ab", "ba")]
+    whole = fuzzy.partial_ratios(pairs)
+    swept, inner = [], fuzzy._column_starts
+    monkeypatch.setattr(fuzzy, "LETTERS", 200)
+    monkeypatch.setattr(fuzzy, "_column_starts", lambda some: swept.append(
+        [len(a) + len(b) for a, b in some]) or inner(some))
+    assert fuzzy.partial_ratios(pairs) == whole
+    assert all(sum(sizes) <= 200 or len(sizes) == 1 for sizes in swept)
