@@ -30,7 +30,8 @@ def _forms(table: DataFrame, id_column: str, text_column: str, name: str) -> Dat
     folded = table.where(F.length(blank(F.col(text_column))) > 0).select(
         F.col(id_column).alias("id"), fold_ascii(F.col(text_column), pinned=True).alias("folded"))
     form = folded.select("id", match_folded(F.col("folded")).alias("form"))
-    return form.select("id", F.md5("form").alias(name), "form")
+    # As bytes the key is half as long, and every word of a text is shuffled with it.
+    return form.select("id", F.unhex(F.md5("form")).alias(name), "form")
 
 
 def _pieces(phrases: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.operators import needles
 from attestra.sources import artwork
 from attestra.sources.spread import spread
 from checks.fixture import labels
@@ -47,3 +48,9 @@ def test_small_members_leave_in_one_frame():
     assert [len(f) for f in frames] == [1_000, 1_000, 500]
     large = [(*r[:5], b"x" * (3 << 20), None) for r in rows[:5]]
     assert [len(f) for f in artwork._frames(iter(large), artwork._CHUNKS)] == [2, 2, 1]
+
+
+def test_keys_of_texts_travel_as_bytes(spark):
+    rows = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, None)], "id int, t string")
+    keys = {r["id"]: r["key"] for r in needles._forms(rows, "id", "t", "key").collect()}
+    assert set(keys) == {1, 2} and keys[1] == keys[2] and isinstance(keys[1], (bytes, bytearray)) and len(keys[1]) == 16
