@@ -4,8 +4,10 @@ Every window of ``length`` bytes has an anchor, its smallest hashed 16-byte gram
 have equal anchors. Windows of one anchor stay together as a piece of text, and an anchor that
 occurs once cannot repeat. Pieces are dealt into shards by anchor; equal pieces are one. Each shard
 builds its suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's walk; windows
-whose prefix with a neighbour in suffix order reaches ``length`` repeat. An anchor with more text
-than a shard holds is dealt over several shards; these are merged by fingerprints of their window
+whose prefix with a neighbour in suffix order reaches ``length`` repeat. The pieces of an anchor with
+more text than a shard holds are texts of their own with anchors of longer grams, and so on up to whole
+windows: each round keeps only what shares a longer string with another piece. What is left then (runs
+of one character) is dealt over several shards; these are merged by fingerprints of their window
 classes, each shard's sorted run searched in the others by binary search.
 
 Equal texts enter once: of a text that occurs twice, everything repeats. Matches never cross
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import as_row, content_key, discard, settle, settle_by, text_or_empty
 from attestra.llm.groups import map_groups
-from attestra.llm.suffix_array import repeated_starts
+from attestra.llm.suffix_array import _marked, repeated_starts
 
 #: Bytes of the grams that anchors come from.
 GRAM = 16
@@ -51,8 +53,13 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets if len(column) else np.zeros(1, dtype=np.int64)
 
 
-def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of the 16 bytes from each place on."""
+def finer_gram(gram: int, length: int) -> int:
+    """Bytes of the grams after those of ``gram`` bytes: a quarter of the rest of a window stays out."""
+    return length - (length - gram) // 4
+
+
+def gram_hashes(text: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A mixed 64-bit hash of the ``gram`` bytes, 16 or more, from each place on."""
     padded = np.concatenate([text, np.zeros(GRAM, dtype=np.uint8)])
     word = np.ndarray((len(text) + 8,), dtype="<u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
     h = word[:-8] * np.uint64(0x9E3779B97F4A7C15)
@@ -61,10 +68,20 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    size = GRAM
+    while size < gram:  # two grams, which may overlap, make a longer one
+        step = min(size, gram - size)
+        ahead = np.zeros_like(h)
+        ahead[:-step] = h[step:]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ahead
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        size += step
     return h
 
 
-def anchor_ranges(text: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchor_ranges(text: np.ndarray, last: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Ranges of window starts with one anchor: ``hash, first start, last start, several``.
 
     ``last`` has for each place the last start of its own text, so a place beyond it starts no
@@ -72,8 +89,8 @@ def anchor_ranges(text: np.ndarray, last: np.ndarray, length: int) -> tuple[np.n
     follow each other are one, so a text of few different grams stays one range; ``several`` says
     that its anchor stands at several places, so that it may repeat in itself.
     """
-    n, width = len(text), length - GRAM + 1
-    hashes = gram_hashes(text)
+    n, width = len(text), length - gram + 1
+    hashes = gram_hashes(text, gram)
     # The upper hash bits and the place, so that the least number is the first of the smallest.
     packed = hashes >> np.uint64(24) << np.uint64(24) | np.arange(n, dtype=np.uint64)
     rows = -(-(n + width) // width)
@@ -112,8 +129,8 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """``key, anchors, firsts, lasts, several`` of each row of ``key, text`` with a window."""
+def find_anchors(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``key, anchors`` of each row of ``key, text`` with a window: an anchor of a text once, with its places."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = _bytes_of(batch.column(1))
@@ -121,74 +138,81 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
                 text = np.concatenate([raw[offsets[r] + a:offsets[r] + b] for r, a, b in segments])
                 sizes = np.array([b - a for _, a, b in segments])
                 ends = np.cumsum(sizes)
-                hashes, first, final, several = anchor_ranges(text, np.repeat(ends - length, sizes), length)
+                hashes, first, final, several = anchor_ranges(text, np.repeat(ends - length, sizes), length, gram)
                 which = np.searchsorted(ends, first, side="right")
                 shift = np.array([a for _, a, _ in segments]) - (ends - sizes)
-                bounds = np.searchsorted(which, np.arange(len(segments) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)) for values in (
-                    hashes.view(np.int64), first + shift[which], final + shift[which], several)]
+                order = np.lexsort((first, hashes, which))
+                hashes, which, several = hashes[order], which[order], several[order]
+                first, final = first[order] + shift[which], final[order] + shift[which]
+                begins = np.flatnonzero(_marked(hashes, which))
+                bounds = np.append(begins, len(hashes)).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(
+                    [pa.array(first), pa.array(final)], ["first", "last"]))
+                again = np.logical_or.reduceat(several, begins) | (np.diff(bounds) > 1)
+                found = pa.StructArray.from_arrays(
+                    [pa.array(hashes[begins].view(np.int64)), pa.array(again), places], ["anchor", "several", "places"])
+                owned = np.searchsorted(which[begins], np.arange(len(segments) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([r for r, _, _ in segments])), *lists],
-                    names=["key", "anchors", "firsts", "lasts", "several"])
+                    [batch.column(0).take(pa.array([r for r, _, _ in segments])),
+                     pa.ListArray.from_arrays(pa.array(owned), found)], names=["key", "anchors"])
 
     return texts.select("key", "text").mapInArrow(
-        find, "key string, anchors array<long>, firsts array<long>, lasts array<long>, several array<boolean>")
-
-
-def piece_numbers(pieces: list[bytes]) -> np.ndarray:
-    """64 bits that tell the pieces of one anchor apart; with the anchor's own 64 they name a piece."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), dtype=np.uint64, count=len(pieces)).view(np.int64)
+        find, "key string, anchors array<struct<anchor: long, several: boolean, places: array<struct<first: long, "
+        "last: long>>>>")
 
 
 def cut_pieces(texts: DataFrame, length: int) -> DataFrame:
-    """``key, anchor, first, bytes, piece_id`` for each range of ``key, text, ranges``."""
-    def cut(raw: np.ndarray, begin: int, r: dict) -> tuple[tuple, bytes]:
-        piece = raw[begin + r["first"]:begin + r["last"] + length].tobytes()
-        return (r["anchor"], r["first"], len(piece)), piece
+    """``key, anchor, bytes, piece_id, firsts`` for each piece of ``key, text, ranges``.
 
-    def named(rows: list[tuple], pieces: list[bytes]) -> list[pa.Array]:
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-        return [*columns, pa.array(piece_numbers(pieces))]
-
-    return _mapped_ranges(texts, cut, named, ["anchor", "first", "bytes", "piece_id"],
-                          "key string, anchor long, first long, bytes long, piece_id long", True)
+    64 bits tell the pieces of one anchor apart; with the anchor's own 64 they name a piece. A piece
+    that a text has several times is one row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = _bytes_of(batch.column(1))
+            ranges = batch.column(2)
+            found: dict[tuple, list[int]] = {}
+            for row in range(batch.num_rows):
+                text = raw[offsets[row]:offsets[row + 1]].tobytes()
+                for r in ranges[row].as_py():
+                    for place in r["places"]:
+                        piece = text[place["first"]:place["last"] + length]
+                        found.setdefault((row, r["anchor"], len(piece), xxhash.xxh3_64_intdigest(piece)),
+                                         []).append(place["first"])
+                if found and (len(found) > RUN_ROWS or row == batch.num_rows - 1):
+                    owner, anchor, size, digest = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(owner)), pa.array(anchor, pa.int64()), pa.array(size, pa.int64()),
+                         pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
+                         pa.array(list(found.values()), pa.list_(pa.int64()))],
+                        names=["key", "anchor", "bytes", "piece_id", "firsts"])
+                    found = {}
+
+    return texts.mapInArrow(run, "key string, anchor long, bytes long, piece_id long, firsts array<long>")
 
 
 def piece_texts(texts: DataFrame, length: int) -> DataFrame:
     """``shard, anchor, piece_id, split, piece`` for each range of ``key, text, ranges``."""
-    def cut(raw: np.ndarray, begin: int, r: dict) -> tuple[tuple, bytes]:
-        return (r["shard"], r["anchor"], r["piece_id"], r["split"]), raw[
-            begin + r["first"]:begin + r["last"] + length].tobytes()
-
-    def named(rows: list[tuple], pieces: list[bytes]) -> list[pa.Array]:
-        kinds = [pa.int64()] * 3 + [pa.bool_()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return [*columns, pa.array(pieces, pa.binary())]
-
-    return _mapped_ranges(texts, cut, named, ["shard", "anchor", "piece_id", "split", "piece"],
-                          "shard long, anchor long, piece_id long, split boolean, piece binary", False)
-
+    kinds = [pa.int64()] * 3 + [pa.bool_()]
 
-def _mapped_ranges(texts: DataFrame, cut, named, names: list[str], schema: str, with_key: bool) -> DataFrame:
-    """Rows of all ranges, about ``SLICE_BYTES`` of pieces at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = _bytes_of(batch.column(1))
             ranges = batch.column(2)
-            owners, rows, pieces, total = [], [], [], 0
+            rows, pieces, total = [], [], 0
             for row in range(batch.num_rows):
+                begin = int(offsets[row])
                 for r in ranges[row].as_py():
-                    values, piece = cut(raw, int(offsets[row]), r)
-                    owners.append(row)
-                    rows.append(values)
-                    pieces.append(piece)
-                    total += len(piece)
+                    rows.append((r["shard"], r["anchor"], r["piece_id"], r["split"]))
+                    pieces.append(raw[begin + r["first"]:begin + r["last"] + length].tobytes())
+                    total += len(pieces[-1])
                 if rows and (total > SLICE_BYTES or row == batch.num_rows - 1):
-                    keys = [batch.column(0).take(pa.array(owners, pa.int32()))] if with_key else []
-                    yield pa.RecordBatch.from_arrays([*keys, *named(rows, pieces)], names=["key"] * with_key + names)
-                    owners, rows, pieces, total = [], [], [], 0
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], names=[
+                        "shard", "anchor", "piece_id", "split", "piece"])
+                    rows, pieces, total = [], [], 0
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "shard long, anchor long, piece_id long, split boolean, piece binary")
 
 
 def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -270,6 +294,30 @@ def merge_shards(table: pa.Table) -> Iterator[pa.RecordBatch]:
                                          names=["anchor", "piece_id", "low", "high"])
 
 
+def _used(ranges: list[dict], more: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each range of starts at each place of its piece, the end ``more`` bytes on."""
+    for r in ranges:
+        for first in r["firsts"]:
+            yield first + r["low"], first + r["high"] + more
+
+
+def merged_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, low, high``: the disjoint ranges of repeated starts of each text of ``key, ranges``."""
+    for batch in batches:
+        rows: list[list] = []
+        for key, ranges in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            begin = len(rows)
+            for low, high in sorted(_used(ranges.as_py(), 0)):
+                if len(rows) > begin and low <= rows[-1][2] + 1:
+                    rows[-1][2] = max(rows[-1][2], high)
+                else:
+                    rows.append([key, low, high])
+        if rows:
+            key, low, high = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["key", "low", "high"])
+
+
 def merged_spans(length: int):
     """One row per text: its disjoint removed spans, and what is left of it."""
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +328,7 @@ def merged_spans(length: int):
                 removed, spans, kept, decoded = [], [], [], []
                 for i, ranges in enumerate(part.column(2)):
                     joined: list[list[int]] = []
-                    for low, high in sorted((r["low"], r["high"] + length) for r in ranges.as_py()):
+                    for low, high in sorted(_used(ranges.as_py(), length)):
                         if joined and low <= joined[-1][1]:
                             joined[-1][1] = max(joined[-1][1], high)
                         else:
@@ -300,76 +348,103 @@ def merged_spans(length: int):
     return merge
 
 
-def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
-    """``key, n_removed, spans, kept, kept_text`` of every text of ``doc_id, key, text`` that loses bytes.
-
-    ``spans`` are byte ranges, ``kept`` the other bytes, ``kept_text`` those read as UTF-8 without
-    the parts of characters that a removal has cut. Texts with copies lose
-    everything.
-    """
-    size = F.octet_length(text_or_empty("text"))
-    rows = settle(named.select("doc_id", "key", size.alias("size")))
-    classes = rows.where(F.col("size") >= length).groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
-    anchors = settle(find_anchors(named, length))
+def repeated_anchors(named: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``key, ranges`` of each text of ``key, text`` with anchors that stand at several places."""
+    anchors = settle(find_anchors(named, length, gram))
     # Copies have the same anchors; a class needs them once, but a long text has several rows.
     # Keys travel as their 16 bytes.
-    once = anchors.select(F.unhex("key").alias("key"), F.explode(F.arrays_zip("anchors", "firsts", "lasts", "several")).alias("r")).select(
-        "key", F.col("r.anchors").alias("anchor"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"),
-        F.col("r.several").alias("several"))
-    text = F.xxhash64("key")
+    once = anchors.select(F.unhex("key").alias("key"), F.explode("anchors").alias("r")).select("key", "r.*")
+    text, first = F.xxhash64("key"), F.col("places")[0]["first"]
     repeated = once.groupBy("anchor").agg(
-        F.min(text).alias("a"), F.max(text).alias("b"), F.min("first").alias("c"), F.max("first").alias("d"),
+        F.min(text).alias("a"), F.max(text).alias("b"), F.min(first).alias("c"), F.max(first).alias("d"),
         F.max("several").alias("e")).where("a <> b or c <> d or e").select("anchor")
     wanted = settle(once.join(repeated, "anchor").groupBy("key").agg(F.array_sort(F.collect_set(
-        F.struct("first", "last", "anchor"))).alias("ranges")).withColumn("key", F.lower(F.hex("key"))))
+        F.struct("places", "anchor"))).alias("ranges")).withColumn("key", F.lower(F.hex("key"))))
     discard(anchors)
-    chosen = wanted.join(classes, "key").select(F.col("key").alias("wanted"), "least", "copies", "ranges")
-    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted"))).select(
-        "key", "text", "ranges", "copies")
-    if rows.groupBy("key", "doc_id").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["key"])
-    texts = settle_by(texts, "key")
+    return wanted
+
+
+def repeated_ranges(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``key, ranges``: repeated starts of the texts of a settled table ``key, text, ranges``.
 
+    A range is ``firsts, low, high``: from ``low`` to ``high`` bytes after each of ``firsts``.
+    """
     uses = settle(cut_pieces(texts.select("key", "text", "ranges"), length))
     different = settle(uses.groupBy("anchor", "piece_id").agg(
-        F.min(F.struct("key", "first")).alias("at"), F.first("bytes").alias("bytes"),
-        F.count(F.lit(1)).alias("uses")))
+        F.min(F.struct("key", F.col("firsts")[0].alias("first"))).alias("at"), F.first("bytes").alias("bytes"),
+        F.sum(F.size("firsts")).alias("uses")))
     # A piece with several uses repeats as a whole; it is searched where its anchor has others too.
     by_anchor = different.groupBy("anchor").agg(
         F.sum("bytes").alias("total"), F.min("uses").alias("fewest")).where("fewest = 1").drop("fewest")
-    whole = by_anchor.agg(F.sum("total")).first()[0] or 0
-    shards = max(1, whole // SHARD_BYTES + 1)
+    whole, most = by_anchor.agg(F.sum("total"), F.max("total")).first()
+    shards = max(1, (whole or 0) // SHARD_BYTES + 1)
     shares = F.ceil(F.col("total") * 2 / F.lit(SHARD_BYTES)).cast("int")
+    name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("anchor", "piece_id")]))
     dealt = (different.join(by_anchor, "anchor")
              .withColumn("split", shares > 1)
              .withColumn("share", F.when(shares > 1, F.pmod(F.xxhash64("piece_id"), shares)).otherwise(F.lit(0)))
              .withColumn("shard", F.pmod(F.xxhash64("anchor", "share"), F.lit(shards)))
              .select(F.col("at.key").alias("key"), F.col("at.first").alias("first"), "anchor", "piece_id", "bytes",
                      "split", "shard"))
-    # A text's pieces bring their shard along, so their bytes move once.
-    places = dealt.groupBy("key").agg(F.collect_list(F.struct(
-        "first", (F.col("first") + F.col("bytes") - length).alias("last"), "anchor", "piece_id", "split", "shard")).alias("ranges"))
-    pieces = piece_texts(texts.select("key", "text").join(places, "key"), length)
-    found = settle(map_groups(pieces.select("shard", "anchor", "piece_id", "split", "piece"), ["shard"],
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        # A text's pieces bring their shard along, so their bytes move once.
+        places = chosen.groupBy("key").agg(F.collect_list(F.struct(
+            "first", (F.col("first") + F.col("bytes") - length).alias("last"), "anchor", "piece_id", "split",
+            "shard")).alias("ranges"))
+        return piece_texts(texts.select("key", "text").join(places, "key"), length)
+
+    finer = None
+    if most and most * 2 > SHARD_BYTES and gram < length:
+        heavy = settle(texts_of(dealt.where("split")).select(name.alias("key"), F.col("piece").alias("text")))
+        finer = finer_gram(gram, length)
+        inner = settle(heavy.join(repeated_anchors(heavy, length, finer), "key"))
+        discard(heavy)
+        finer = repeated_ranges(inner, length, finer).mapInArrow(merged_starts, "key string, low long, high long")
+        dealt = dealt.where("not split")
+    found = settle(map_groups(texts_of(dealt).select("shard", "anchor", "piece_id", "split", "piece"), ["shard"],
                               shard_repeats(length), SHARD_ROWS))
-    classes_at = found.where(F.col("classes").isNotNull()).select(
-        "shard", "anchor", "piece_id", F.explode("classes").alias("c")).select(
-        "shard", "anchor", "piece_id", F.col("c.print").alias("print"), F.col("c.at").alias("at"),
-        F.col("c.open").alias("open"))
-    runs = max(1, (found.agg(F.sum(F.size("classes"))).first()[0] or 0) // RUN_ROWS)
-    merged = map_groups(
-        classes_at.withColumn("run", F.pmod(F.xxhash64("print"), F.lit(runs))).select(
-            "run", "shard", "anchor", "piece_id", "print", "at", "open"),
-        ["run"], merge_shards, "anchor long, piece_id long, low long, high long")
-    ranges = found.where(F.col("low").isNotNull()).select("anchor", "piece_id", "low", "high").unionByName(merged)
+    ranges = found.where(F.col("low").isNotNull()).select("anchor", "piece_id", "low", "high")
+    if finer is None:
+        classes_at = found.where(F.col("classes").isNotNull()).select(
+            "shard", "anchor", "piece_id", F.explode("classes").alias("c")).select(
+            "shard", "anchor", "piece_id", F.col("c.print").alias("print"), F.col("c.at").alias("at"),
+            F.col("c.open").alias("open"))
+        runs = max(1, (found.agg(F.sum(F.size("classes"))).first()[0] or 0) // RUN_ROWS)
+        ranges = ranges.unionByName(map_groups(
+            classes_at.withColumn("run", F.pmod(F.xxhash64("print"), F.lit(runs))).select(
+                "run", "shard", "anchor", "piece_id", "print", "at", "open"),
+            ["run"], merge_shards, "anchor long, piece_id long, low long, high long"))
+    else:
+        once = different.where("uses = 1").select(name.alias("key"), "anchor", "piece_id")
+        ranges = ranges.unionByName(finer.join(once, "key").select("anchor", "piece_id", "low", "high"))
     # A piece that several places share repeats as a whole.
     shared = different.where("uses > 1").select(
         "anchor", "piece_id", F.lit(0).cast("long").alias("low"), (F.col("bytes") - length).cast("long").alias("high"))
-    spans = (uses.join(ranges.unionByName(shared), ["anchor", "piece_id"])
-             .select("key", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-             .groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
-    single = texts.where("copies = 1").select("key", "text").join(spans, "key")
+    return uses.join(ranges.unionByName(shared), ["anchor", "piece_id"]).groupBy("key").agg(
+        F.collect_list(F.struct("firsts", "low", "high")).alias("ranges"))
+
+
+def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
+    """``key, n_removed, spans, kept, kept_text`` of every text of ``doc_id, key, text`` that loses bytes.
+
+    ``spans`` are byte ranges, ``kept`` the other bytes, ``kept_text`` those read as UTF-8 without
+    the parts of characters that a removal has cut. Texts with copies lose
+    everything.
+    """
+    size = F.octet_length(text_or_empty("text"))
+    rows = settle(named.select("doc_id", "key", size.alias("size")))
+    classes = rows.where(F.col("size") >= length).groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
+    chosen = repeated_anchors(named, length).join(classes, "key").select(
+        F.col("key").alias("wanted"), "least", "copies", "ranges")
+    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted"))).select(
+        "key", "text", "ranges", "copies")
+    if rows.groupBy("key", "doc_id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["key"])
+    texts = settle_by(texts, "key")
+
+    single = texts.where("copies = 1").select("key", "text").join(repeated_ranges(texts, length), "key")
     lost = single.select("key", "text", "ranges").mapInArrow(
         merged_spans(length), "key string, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, "
         "kept_text string")

@@ -115,6 +115,21 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, length, shard
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_suffix_dedup_names_few_windows_of_a_common_passage(spark, monkeypatch):
+    """A passage in many different texts: its windows do not become rows of each text."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    settled, made = suffix_dedup.settle, []
+    monkeypatch.setattr(suffix_dedup, "settle", lambda df: (made.append(settled(df)), made[-1])[1])
+    rows = [(k, story(500 + k, 30) + " " + story(1, 40) + " " + story(900 + k, 30)) for k in range(80)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 60).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    expected = [(i, *x) for (i, _), x in zip(rows, removed([t for _, t in rows], 60), strict=True)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    named = [df.agg(F.sum(F.size("classes"))).first()[0] or 0 for df in made if "classes" in df.columns]
+    assert named and sum(named) <= 2 * len(rows)
+    assert max(df.count() for df in made if "piece_id" in df.columns) <= 20 * len(rows)
+
+
 def test_suffix_dedup_keeps_columns(docs, nothing):
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
