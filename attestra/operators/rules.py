@@ -206,17 +206,21 @@ def fallback_result(entry: str, error: Column) -> Column:
     return verification_unavailable_result() if entry == FROM_TEXT else rules_unavailable_result()
 
 
-def results_array(options: RuleOptions = RuleOptions(), entry: str = FROM_FILE, error: Column | None = None) -> Column:
-    """Thirteen results, two more for imports, or one for unreadable text or an input error.
-
-    The rule set by itself does not ask whether a text is readable.
-    """
+def every_result(options: RuleOptions = RuleOptions()) -> Column:
+    """Thirteen results, two more for imports, over a ``with_signals`` frame."""
     rules = rule_columns(options)
     common = [v for k, v in rules.items() if k not in IMPORT_RULES]
     extra = [rules[k] for k in IMPORT_RULES]
     imported = F.coalesce(F.col("imported"), F.lit(False))
     more = F.when(imported, F.array(*extra)).otherwise(F.array().cast(ArrayType(RESULT)))
-    every = F.concat(F.array(*common), more)
+    return F.concat(F.array(*common), more)
+
+
+def results_array(every: Column, entry: str = FROM_FILE, error: Column | None = None) -> Column:
+    """``every`` result, or one for unreadable text or an input error.
+
+    The rule set by itself does not ask whether a text is readable.
+    """
     done = every if entry == FROM_RULES else F.when(F.col("_readable"), every).otherwise(
         F.array(unreadable_text_result(F.col("image_quality_notes"))))
     if error is None:
@@ -237,10 +241,21 @@ def verify_labels(labels: DataFrame, options: RuleOptions = RuleOptions(), entry
     if given is not None or entry != FROM_FILE:
         checked = checked.withColumn("_error", input_error(entry, given))
         error = F.col("_error")
-    done = checked.withColumn("results", results_array(options, entry, error))
+    done = checked.withColumn("results", results_array(every_result(options), entry, error))
     return done.select(*labels.columns, "results")
 
 
+def verify_entries(labels: DataFrame, entries: tuple[str, ...] = (FROM_FILE, FROM_TEXT, FROM_RULES),
+                   options: RuleOptions = RuleOptions(), given: Column | None = None) -> DataFrame:
+    """As ``verify_labels`` for each way in: a row per label and ``entry``. The rules run once a label."""
+    checked = with_signals(labels, options).withColumns(
+        {"_every": every_result(options)} | {f"_error_{entry}": input_error(entry, given) for entry in entries})
+    answers = F.array(*[F.struct(
+        F.lit(entry).alias("entry"),
+        results_array(F.col("_every"), entry, F.col(f"_error_{entry}")).alias("results")) for entry in entries])
+    return checked.select(*labels.columns, F.explode(answers).alias("_answer")).select(*labels.columns, "_answer.*")
+
+
 def rule_table(labels: DataFrame, rule_id: str,
                options: RuleOptions = RuleOptions()) -> DataFrame:
     """One rule alone over readable rows; signals it does not read leave the plan."""

@@ -244,15 +244,11 @@ def fallback_results(spark, sf):
     damaged = labels(spark, sf).withColumns({
         "file_name": F.when(row % 6 == 1, "").otherwise(F.col("file_name")),
         "raw_text": F.when(row % 6 == 2, F.lit(None)).otherwise(F.col("raw_text"))})
-    found = None
-    for entry in (rules.FROM_FILE, rules.FROM_TEXT, rules.FROM_RULES):
-        done = rules.verify_labels(damaged, entry=entry, given=row % 3 != 0)
-        first, shown = F.element_at("results", 1), F.element_at("results", 1)["rule_id"] != "brand_name_match"
-        rows = done.select(
-            "row_id", F.lit(entry).alias("entry"), F.size("results").alias("results"), first["rule_id"].alias("rule_id"),
-            F.when(shown, first["evidence"]).alias("evidence"), F.when(shown, first["message"]).alias("message"))
-        found = rows if found is None else found.unionAll(rows)
-    return found
+    done = rules.verify_entries(damaged, given=row % 3 != 0)
+    first, shown = F.element_at("results", 1), F.element_at("results", 1)["rule_id"] != "brand_name_match"
+    return done.select(
+        "row_id", "entry", F.size("results").alias("results"), first["rule_id"].alias("rule_id"),
+        F.when(shown, first["evidence"]).alias("evidence"), F.when(shown, first["message"]).alias("message"))
 
 
 @query("rule_extractors", SIGNALS + """

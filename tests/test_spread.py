@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
-from attestra.operators import needles
+from attestra.operators import needles, rules
 from attestra.sources import artwork
 from attestra.sources.spread import spread
+from checks import QUERIES
 from checks.fixture import labels
 
 
@@ -54,3 +55,16 @@ def test_keys_of_texts_travel_as_bytes(spark):
     rows = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, None)], "id int, t string")
     keys = {r["id"]: r["key"] for r in needles._forms(rows, "id", "t", "key").collect()}
     assert set(keys) == {1, 2} and keys[1] == keys[2] and isinstance(keys[1], (bytes, bytearray)) and len(keys[1]) == 16
+
+
+def test_entries_run_the_rules_once(spark):
+    rows = labels(spark, "/root/testdata/sf0.001").withColumn(
+        "raw_text", F.when(F.col("row_id") % 6 != 2, F.col("raw_text")))
+    given = F.col("row_id") % 3 != 0
+    every = rules.verify_entries(rows, given=given).select("row_id", "entry", "results")
+    for entry in (rules.FROM_FILE, rules.FROM_TEXT, rules.FROM_RULES):
+        one = rules.verify_labels(rows, entry=entry, given=given).select("row_id", F.lit(entry).alias("entry"), "results")
+        mine = every.where(F.col("entry") == entry)
+        assert one.exceptAll(mine).count() == 0 and mine.count() == one.count()
+    plan = QUERIES["fallback_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == one._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
