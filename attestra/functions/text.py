@@ -79,8 +79,12 @@ def normalize_folded(folded: Column) -> Column:
 
 
 def match_folded(folded: Column) -> Column:
-    """``normalize_for_match`` for a value that ``fold_ascii`` already produced."""
-    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9 ][^a-z0-9]*| [^a-z0-9]+", " "))
+    """``normalize_for_match`` for a value that ``fold_ascii`` already produced.
+
+    One class and no alternation: Java tries the branches of one at every letter, which takes five
+    times as long as replacing lone spaces by themselves.
+    """
+    return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 
 
 def normalize_text(value: Column) -> Column:
