@@ -130,9 +130,14 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+#: Bytes from which a repeated passage counts. 51 words of two letters on average with their spaces
+#: are 152 bytes, so passages of over 50 words count in every language; ordinary phrases are shorter.
+PASSAGE_BYTES = 150
+
+
 @query
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
 
 
 @query

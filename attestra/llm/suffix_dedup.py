@@ -318,6 +318,10 @@ def merged_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [pa.array(key), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["key", "low", "high"])
 
 
+SPAN_ROWS = ("key string, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, "
+             "kept_text string")
+
+
 def merged_spans(length: int):
     """One row per text: its disjoint removed spans, and what is left of it."""
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +436,7 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
     the parts of characters that a removal has cut. Texts with copies lose
     everything.
     """
-    size = F.octet_length(text_or_empty("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
     rows = settle(named.select("doc_id", "key", size.alias("size")))
     classes = rows.where(F.col("size") >= length).groupBy("key").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
@@ -446,8 +450,7 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
 
     single = texts.where("copies = 1").select("key", "text").join(repeated_ranges(texts, length), "key")
     lost = single.select("key", "text", "ranges").mapInArrow(
-        merged_spans(length), "key string, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, "
-        "kept_text string")
+        merged_spans(length), SPAN_ROWS)
     copies = classes.where("copies > 1").select(
         "key", F.col("size").cast("long").alias("n_removed"),
         F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop"))).alias("spans"),
@@ -455,19 +458,62 @@ def repeated_text(named: DataFrame, length: int = 400) -> DataFrame:
     return lost.unionByName(copies)
 
 
+def repeated_within(named: DataFrame, shorter: DataFrame, length: int) -> DataFrame:
+    """As ``repeated_text``, from the spans of a shorter length, a settled table ``key, spans``.
+
+    Every shorter string within a repeated window repeats as well, so a window lies in one of the
+    spans. Those of ``length`` bytes and more are searched as texts of their own; a span of a text
+    that has copies is given twice, so that it is a copy too.
+    """
+    long = F.filter("spans", lambda s: s["stop"] - s["start"] >= length)
+    first = named.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    chosen = shorter.select("key", long.alias("long")).where(F.size("long") > 0).join(first, "key").select(
+        F.col("key").alias("wanted"), "least", "copies", "long")
+    texts = settle(named.join(chosen, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("key") == F.col("wanted")))
+                   .select("key", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "copies", "long")
+                   .dropDuplicates(["key"]))
+    spans = texts.select(F.col("key").alias("whole"), "text", "copies", F.explode("long").alias("s")).select(
+        "whole", "copies", F.col("s.start").alias("start"), F.expr(
+            "substring(text, cast(s.start + 1 as int), cast(s.stop - s.start as int))").alias("text"))
+    spans = settle(spans.withColumn("key", F.md5("text")))
+    given = spans.select(
+        "key", "text", "whole", "start", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(2)).cast("int"))).alias("i"))
+    found = repeated_text(given.select(F.concat_ws(":", "whole", "start", "i").alias("doc_id"), "key", "text"), length)
+    ranges = spans.select("key", "whole", "start").join(found.select("key", F.explode("spans").alias("s")), "key").select(
+        F.col("whole").alias("key"), F.struct(
+            F.array("start").alias("firsts"), F.col("s.start").alias("low"),
+            (F.col("s.stop") - length).alias("high")).alias("r")).groupBy("key").agg(F.collect_list("r").alias("ranges"))
+    return texts.select("key", "text").join(ranges, "key").select("key", "text", "ranges").mapInArrow(
+        merged_spans(length), SPAN_ROWS)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id",
-                   text_column: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256``."""
+                   text_column: str = "text", passage: int | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256``.
+
+    With ``passage``, a shorter length, also ``passage_bytes, n_passages``: what would go at that length.
+    """
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn(
         "key", content_key(text_or_empty("text")))
-    lost = repeated_text(named, length).select("key", "n_removed", "spans", F.sha2("kept", 256).alias("sha"))
+    passages = None
+    if passage is None:
+        lost = repeated_text(named, length)
+    else:
+        passages = settle(repeated_text(named, passage).select("key", "n_removed", "spans"))
+        lost = repeated_within(named, passages, length)
+    lost = lost.select("key", "n_removed", "spans", F.sha2("kept", 256).alias("sha"))
+    if passages is not None:
+        lost = passages.select("key", F.col("n_removed").alias("passage_bytes"),
+                               F.size("spans").cast("long").alias("n_passages")).join(lost, "key", "left")
     whole = named.select("doc_id", "key", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"),
                          F.sha2(text_or_empty("text").cast("binary"), 256).alias("whole_sha"))
     nothing = F.array().cast("array<struct<start: bigint, stop: bigint>>")
+    more = [] if passages is None else ["passage_bytes", "n_passages"]
     return whole.join(lost, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("spans", nothing).alias("spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
+        F.coalesce("spans", nothing).alias("spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in more])
 
 
 def without_repeats(docs: DataFrame, length: int = 400, text_column: str = "text",

@@ -15,11 +15,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
 from attestra.llm.common import read, settle
-from attestra.llm.queries import toxicity_chain, word_vocabulary
-
-#: Bytes from which a repeated passage is cut. 51 words of two letters on average with their spaces
-#: are 152 bytes, so passages of over 50 words are cut in every language; ordinary phrases are shorter.
-PASSAGE_BYTES = 150
+from attestra.llm.queries import PASSAGE_BYTES, toxicity_chain, word_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,6 +115,20 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, length, shard
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_suffix_dedup_shows_passages_below_the_length(spark, docs):
+    """Passages too short for the length itself: both lengths equal brute force, the contract's columns stay."""
+    rows = [(i, t) for i, t, _ in odd_texts()]
+    rows += [(200 + k, story(300 + k, 9) + " " + story(1, 90)[:60 + 15 * k] + "é" + story(400 + k, 9)) for k in range(12)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 110, passage=50)
+    assert got.columns[:6] == suffix_dedup.remove_repeats(docs, 110).columns
+    texts = [t for _, t in rows]
+    expected = [(i, *x, *y[1:3]) for (i, _), x, y in zip(rows, removed(texts, 110), removed(texts, 50), strict=True)]
+    assert sorted(map(str, map(tuple, got.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages").collect()))) == sorted(
+        map(str, expected))
+    assert any(y > 0 == x for _, _, x, _, _, y, _ in expected)
+
+
 def test_suffix_dedup_names_few_windows_of_a_common_passage(spark, monkeypatch):
     """A passage in many different texts: its windows do not become rows of each text."""
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
