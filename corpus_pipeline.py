@@ -49,8 +49,15 @@ STAGES = [
 
 ORACLE_SQL = None
 
+#: Rows of an Arrow batch. Documents are long, and a batch stands in the JVM and in the Python worker at once.
+BATCH_ROWS = 1_000
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences; sets the session's Arrow batch, also for the last stage, which runs later."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_rows = int(spark.conf.get(batch))
+    spark.conf.set(batch, str(min(set_rows, BATCH_ROWS) if set_rows > 0 else BATCH_ROWS))
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))

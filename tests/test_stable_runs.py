@@ -53,3 +53,23 @@ def test_needles_with_very_many_letters():
     shifted = needle[:5000] + needle[:1000]
     assert partial_ratios([(needle, text)])[0] > 80
     assert partial_ratios([(shifted, shifted + "z")]) == [100.0]
+
+
+def test_pipeline_hands_long_texts_on_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    batch, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(batch)
+
+    def stage(session, docs, sf_dir):
+        seen.append(int(session.conf.get(batch)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("last", stage)])
+    try:
+        for given, used in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("200", 200)):
+            spark.conf.set(batch, given)
+            assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+            assert seen[-2:] == [used, used]
+    finally:
+        spark.conf.set(batch, before)
