@@ -15,7 +15,7 @@ from attestra.operators import rules, warning
 from attestra.operators.outcomes import RULES
 from attestra.plans import batch
 from checks.fixture import FIXTURE, labels
-from checks.registry import query, table
+from checks.registry import documents, query, table
 from checks.text_queries import (
     EXTRACT_SELECT, _NET_PAIRS, context_sql, lcs_sql, lines_sql, masks_sql, match, normal,
     partial_ratio_sql, replaced, spaced,
@@ -271,7 +271,7 @@ select doc_id, try_cast(nullif(regexp_extract(text, '{ABV_PATTERN}', 1, 'i'), ''
 from documents""")
 def rule_extractors_documents(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", extract.rule_abv(text).alias("abv"), extract.rule_proof(text).alias("proof"),
         extract.rule_net_contents(text).alias("net_contents"),
         F.regexp_extract(text, extract.ANY_CASE + PRODUCER_PATTERN, 0).alias("producer"))
@@ -337,7 +337,7 @@ def warning_results(spark, sf):
 select doc_id, regexp_matches(text, '\bgovernment\s+warning\s*:', 'i') as prefix_present,
   regexp_matches(text, '\bGOVERNMENT\s+WARNING\s*:') as prefix_all_caps from documents""")
 def warning_documents(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", warning.has_any_prefix(F.col("text")).alias("prefix_present"),
         tx.has_caps_prefix(F.col("text")).alias("prefix_all_caps"))
 
@@ -345,7 +345,7 @@ def warning_documents(spark, sf):
 # A window search with a 274-letter needle is beyond SQL; unit tests check it by brute force.
 @query("warning_similarity_documents")
 def warning_similarity_documents(spark, sf):
-    docs = table(spark, sf, "documents").withColumn(
+    docs = documents(spark, sf).withColumn(
         "m", tx.match_folded(tx.fold_ascii(F.col("text"), pinned=True)))
     return docs.select(
         "doc_id", F.round(warning.warning_similarity(F.col("m")), 6).alias("similarity"))

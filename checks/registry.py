@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestra.sources.spread import spread_texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return frame if spread is None else frame.repartition(int(spread))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on each text alone: dealt over tasks where the files have few parts."""
+    return spread_texts(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share, for queries that write files and read them again."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,7 +13,7 @@ from attestra.functions import text as tx
 from attestra.operators import needles
 from attestra.operators.matching import name_key
 from checks.fixture import FIXTURE, labels
-from checks.registry import query, table
+from checks.registry import documents, query, table
 
 
 def spaced(x):
@@ -43,7 +43,7 @@ def replaced(x, pairs):
 select doc_id, {folded('text')} as folded, {normal('text')} as normalized,
        {match('text')} as match_form from documents""")
 def normalize_documents(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     text = docs.withColumn("folded", tx.fold_ascii(F.col("text"), pinned=True))
     return text.select(
         "doc_id", "folded", tx.normalize_folded(F.col("folded")).alias("normalized"),
@@ -268,7 +268,7 @@ def extract_fields(spark, sf):
 with b as (select doc_id, text as t, {lines_sql('text')} as l from documents)
 select doc_id, {EXTRACT_SELECT} from b""")
 def extract_documents(spark, sf):
-    return _extracted(table(spark, sf, "documents"), "doc_id", "text")
+    return _extracted(documents(spark, sf), "doc_id", "text")
 
 
 @query("extract_lines", f"""
