@@ -1,8 +1,8 @@
 """Field extraction from label text: regular expressions and first-line scans.
 
-Lines are never split into arrays. ``clean_lines`` turns the text into single-spaced,
-non-blank lines joined by newlines, and the first line of interest is one ``regexp_extract``
-on that string, which stays inside generated code.
+``clean_lines`` turns the text into single-spaced, non-blank lines joined by newlines. Expressions that
+ignore case cost ten times as much per letter as plain ones, so they run only on texts whose
+``caseless`` form has the words they need, and first lines are found in that form alone.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from attestra.constants import (
 from attestra.functions.text import blank, collapse_spaces, net_contents_folded
 
 ANY_CASE = "(?iU)"
-_BREAK = r"\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
+# White space as ASCII knows it, and what other white space becomes; Java tests ASCII classes by a table.
+_SPACE = r"\t-\r\x1c-\x20"
+_OTHER_BREAKS = "\x85\u2028\u2029"
+_OTHER_SPACES = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u202f\u205f\u3000"
 
 
 def _either(words) -> str:
@@ -27,12 +30,16 @@ def _either(words) -> str:
 
 
 def clean_lines(text: Column) -> Column:
-    """Non-blank, single-spaced lines joined by a newline."""
-    joined = F.regexp_replace(
-        blank(text), rf"(?U)[\s\x1c-\x1f]*[{_BREAK}][\s\x1c-\x1f]*", "\n")
-    spaced = F.regexp_replace(
-        joined, r"(?U)[[\s\x1c-\x1f]&&[^\n ]][[\s\x1c-\x1f]&&[^\n]]*| [[\s\x1c-\x1f]&&[^\n]]+", " ")
-    return F.btrim(spaced, F.lit(" \n"))
+    """Non-blank, single-spaced lines joined by a newline. Most texts are so, but for their ends."""
+    text = blank(text)
+    odd = text.rlike(r"[\t\x0b-\r\x1c-\x1f\x80-\x{10ffff}]")
+    for pair in ("  ", " \n", "\n ", "\n\n"):
+        odd = odd | F.contains(text, F.lit(pair))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(
+        text, _OTHER_BREAKS + _OTHER_SPACES, "\n" * len(_OTHER_BREAKS) + " " * len(_OTHER_SPACES))).otherwise(text)
+    joined = F.regexp_replace(plain, rf"[{_SPACE}]*[\n-\r\x1c-\x1e][{_SPACE}]*", "\n")
+    spaced = F.regexp_replace(joined, r"[\t\x1f][\t\x1f ]*| [\t\x1f ]+", " ")
+    return F.btrim(F.when(odd, spaced).otherwise(text), F.lit(" \n"))
 
 
 def lines(text: Column) -> Column:
@@ -48,37 +55,69 @@ def brand_line(cleaned: Column) -> Column:
     return F.regexp_extract(cleaned, pattern, 0)
 
 
-def _first_line_with(cleaned: Column, words) -> Column:
-    """The line anchor keeps the search linear: without it every offset of a long line would
-    be tried as a start."""
-    return F.regexp_extract(cleaned, rf"(?imU)^[^\n]*?(?:{_either(words)})[^\n]*", 0)
+def caseless(text: Column) -> Column:
+    """Lower case, each letter in its place; beside the Kelvin sign, which lower case turns into k, three
+    letters equal an ASCII letter in any case."""
+    for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
 
 
-def class_line(cleaned: Column) -> Column:
+def _once(value: Column, make) -> Column:
+    """``make`` of a value that it reads several times; an element of an array is made once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _has_any(folded: Column, words) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(folded, F.lit(word.lower()))
+    return found
+
+
+def _first_line_with(cleaned: Column, folded: Column | None, words) -> Column:
+    """The caseless form has the same lines: those that begin before the first word tell which one it is."""
+    folded = caseless(cleaned) if folded is None else folded
+    words = [w.lower() for w in words]
+    letters = "".join(sorted({w[0] for w in words}))
+    before = F.regexp_replace(folded, rf"(?s)(?=[{letters}])(?:{_either(words)}).*", "")
+    return F.when(_has_any(folded, words), F.split_part(
+        cleaned, F.lit("\n"), F.size(F.split(before, "\n")))).otherwise("")
+
+
+def class_line(cleaned: Column, folded: Column | None = None) -> Column:
     """First line with a class keyword anywhere in it, inside words too."""
-    return _first_line_with(cleaned, CLASS_KEYWORDS)
+    return _first_line_with(cleaned, folded, CLASS_KEYWORDS)
 
 
-def producer_line(cleaned: Column) -> Column:
-    return _first_line_with(cleaned, EXTRACT_PRODUCER_PHRASES)
+def producer_line(cleaned: Column, folded: Column | None = None) -> Column:
+    return _first_line_with(cleaned, folded, EXTRACT_PRODUCER_PHRASES)
 
 
-def country_of_line(cleaned: Column) -> Column:
+def country_of_line(cleaned: Column, folded: Column | None = None) -> Column:
+    folded = caseless(cleaned) if folded is None else folded
     pattern = rf"(?iU)(?:{_either(EXTRACT_COUNTRY_PHRASES)}) *:? *([^\n]+)"
-    return F.trim(F.regexp_extract(cleaned, pattern, 1))
+    return F.when(_has_any(folded, EXTRACT_COUNTRY_PHRASES),
+                  F.trim(F.regexp_extract(cleaned, pattern, 1))).otherwise("")
 
 
-def alcohol_content(text: Column) -> Column:
-    found = [F.nullif(F.regexp_extract(blank(text), ANY_CASE + p, 1), F.lit(""))
+def alcohol_content(text: Column, folded: Column | None = None) -> Column:
+    folded = caseless(blank(text)) if folded is None else folded
+    percent = F.contains(blank(text), F.lit("%"))
+    found = [F.when(percent if "%" in p else F.contains(folded, F.lit("abv")), _once(
+        F.regexp_extract(blank(text), ANY_CASE + p, 1), lambda v: F.when(v != "", v)))
              for p in EXTRACT_ABV_PATTERNS]
     return F.coalesce(*found).try_cast("double")
 
 
-def net_contents(text: Column) -> Column:
-    amount = F.regexp_extract(blank(text), ANY_CASE + EXTRACT_NET_PATTERN, 1)
-    unit = F.regexp_extract(blank(text), ANY_CASE + EXTRACT_NET_PATTERN, 2)
-    return F.when(amount == "", "").otherwise(
-        F.concat_ws(" ", amount, collapse_spaces(unit)))
+def net_contents(text: Column, folded: Column | None = None) -> Column:
+    """The amount and unit are looked up once more in what was found, which is short."""
+    folded = caseless(blank(text)) if folded is None else folded
+    found = F.when(F.contains(folded, F.lit("content")),
+                   F.regexp_extract(blank(text), ANY_CASE + EXTRACT_NET_PATTERN, 0)).otherwise("")
+    part = [lambda v, k=k: F.regexp_extract(v, ANY_CASE + EXTRACT_NET_PATTERN, k) for k in (1, 2)]
+    return _once(found, lambda v: F.when(v == "", "").otherwise(
+        F.concat_ws(" ", part[0](v), collapse_spaces(part[1](v)))))
 
 
 def government_warning(flat: Column) -> Column:
@@ -87,24 +126,25 @@ def government_warning(flat: Column) -> Column:
     ``flat`` is single-spaced text, so a plain containment test spares the regular expression
     wherever there is no prefix.
     """
-    upper = F.upper(flat)
-    return (
-        F.when(~F.contains(upper, F.lit("GOVERNMENT WARNING")), "")
-        .when(F.contains(upper, F.lit(WARNING_TEXT.upper())), WARNING_TEXT)
-        .otherwise(F.trim(F.regexp_extract(flat, ANY_CASE + EXTRACT_WARNING_PATTERN, 1))))
+    return _once(F.struct(flat.alias("flat"), F.upper(flat).alias("upper")), lambda v: (
+        F.when(~F.contains(v["upper"], F.lit("GOVERNMENT WARNING")), "")
+        .when(F.contains(v["upper"], F.lit(WARNING_TEXT.upper())), WARNING_TEXT)
+        .otherwise(F.trim(F.regexp_extract(v["flat"], ANY_CASE + EXTRACT_WARNING_PATTERN, 1)))))
 
 
 def extracted_fields(text: Column, cleaned: Column | None = None) -> Column:
     """All seven structured fields as one struct."""
     cleaned = clean_lines(text) if cleaned is None else cleaned
+    folded = caseless(cleaned)
     return F.struct(
         brand_line(cleaned).alias("brand_name"),
-        class_line(cleaned).alias("class_type"),
-        alcohol_content(text).alias("alcohol_content"),
-        net_contents(text).alias("net_contents"),
-        producer_line(cleaned).alias("producer_bottler"),
-        country_of_line(cleaned).alias("country_of_origin"),
-        government_warning(F.translate(cleaned, "\n", " ")).alias("government_warning"),
+        class_line(cleaned, folded).alias("class_type"),
+        alcohol_content(text, folded).alias("alcohol_content"),
+        net_contents(text, folded).alias("net_contents"),
+        producer_line(cleaned, folded).alias("producer_bottler"),
+        country_of_line(cleaned, folded).alias("country_of_origin"),
+        F.when(F.contains(folded, F.lit("government")), government_warning(
+            F.replace(cleaned, F.lit("\n"), F.lit(" ")))).otherwise("").alias("government_warning"),
     )
 
 
