@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,21 +36,53 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/attestra-{uuid.uuid4().hex}"
 
 
+#: Folders and tables that this thread has settled since ``settle_last`` began.
+_LOCAL = threading.local()
+
+
+def _note(path: str, table: str | None = None) -> None:
+    for held in getattr(_LOCAL, "open", []):
+        held.append((path, table))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _note(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(settled: DataFrame) -> None:
     """Delete the folder of a settled table; what was made from it must have been settled itself."""
-    spark = settled.sparkSession
     for folder in {f.rpartition("/")[0] for f in settled.inputFiles()}:
         if folder.rpartition("/")[2].startswith("attestra-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(settled.sparkSession, folder)
+
+
+def settle_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """Settle what ``make`` gives and delete all that was settled on the way to it."""
+    if not hasattr(_LOCAL, "open"):
+        _LOCAL.open = []
+    held: list[tuple[str, str | None]] = []
+    _LOCAL.open.append(held)
+    try:
+        made = make()
+    finally:
+        _LOCAL.open.pop()
+    done = settle(made)
+    spark = done.sparkSession
+    for path, table in held:
+        if table is not None:
+            spark.sql(f"drop table if exists {table}")
+        _delete(spark, path)
+    return done
 
 
 def settle_by(df: DataFrame, key: str) -> DataFrame:
@@ -58,6 +92,7 @@ def settle_by(df: DataFrame, key: str) -> DataFrame:
     name = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _note(path, name)
     return spark.table(name)
 
 

@@ -1,15 +1,14 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement and Kasai common prefixes.
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, up to the length that is asked for.
 
 A shard holds byte strings one after the other. A suffix ends with its own string; an end counts as
-smaller than any byte, and ends are ordered by string, so no two suffixes are equal.
+smaller than any byte, and ends are ordered by string, so no two suffixes are equal. Suffixes that share
+the first ``length`` bytes keep one rank, which says what their common prefixes would, without a walk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Places that one lane of the common-prefix walk goes through.
-LANE = 512
 #: Bytes by which suffixes are ordered at first.
 FIRST = 5
 
@@ -101,43 +100,6 @@ def suffix_ranks(words: np.ndarray, left: np.ndarray, string: np.ndarray, most:
     return rank
 
 
-def common_prefixes(words: np.ndarray, left: np.ndarray, string: np.ndarray, before: np.ndarray,
-                    tied: np.ndarray, most: int) -> np.ndarray:
-    """Bytes, up to ``most``, that each suffix shares with the one before it in their order.
-
-    ``tied`` suffixes share ``most`` bytes with it and have no order among themselves. Kasai's walk
-    goes through a string's other places in turn: the next suffix shares at most one byte less,
-    and is compared afresh after a tied one. Lanes of places walk side by side, eight bytes at a time.
-    """
-    n = len(words)
-    out = np.where(tied, most, 0).astype(np.int32)
-    places = np.flatnonzero(~tied).astype(np.int32)
-    follows = np.zeros(len(places), dtype=bool)
-    follows[1:] = (np.diff(places) == 1) & (string[places[1:]] == string[places[:-1]])
-    at = np.arange(0, len(places), LANE)
-    end = np.minimum(at + LANE, len(places))
-    shared = np.zeros(len(at), dtype=np.int32)
-    while len(at):
-        place = places[at]
-        other = before[place]
-        cap = np.minimum(np.minimum(left[place], left[other]), most)
-        cap[other < 0] = 0
-        x = (words[np.minimum(place + shared, n - 1)] ^ words[np.minimum(other + shared, n - 1)])
-        # Words are big-endian numbers: the first byte that differs is the highest one.
-        equal = np.full(len(x), 8, dtype=np.int32)
-        some = np.flatnonzero(x)
-        equal[some] = (x[some].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
-        shared = np.minimum(shared + equal, cap)
-        done = (equal < 8) | (shared >= cap)
-        out[place[done]] = shared[done]
-        at = at + done
-        going = at < end
-        if not going.all():
-            at, end, shared, done = at[going], end[going], shared[going], done[going]
-        shared = np.where(done, np.where(follows[at], np.maximum(shared - 1, 0), 0), shared)
-    return out
-
-
 def repeated_starts(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts with ``length`` bytes in their string, whether those bytes occur again, and their class.
 
@@ -151,18 +113,7 @@ def repeated_starts(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[n
     if not len(starts):
         return starts, np.zeros(0, dtype=bool), starts
     words = words_at(text, left)
+    # Ranks go by ``length`` bytes and the ends, so neighbours share that many where they share a rank.
     rank = suffix_ranks(words, left, string, length)
-    suffixes = sort_order(rank)
-    before = np.empty(n, dtype=np.int32)
-    before[suffixes[0]], before[suffixes[1:]] = -1, suffixes[:-1]
-    tied = (before >= 0) & (rank[before] == rank)
-    shared = common_prefixes(words, left, string, before, tied, length)
-    del words, before, tied, left, string
-    joined = shared[suffixes] >= length
-    del shared
-    place = np.empty(n, dtype=np.int32)
-    place[suffixes] = np.arange(n, dtype=np.int32)
-    head = _group_firsts(~joined)
-    again = joined.copy()
-    again[:-1] |= joined[1:]
-    return starts, again[place[starts]], head[place[starts]]
+    del words, left, string
+    return starts, (np.bincount(rank, minlength=n) > 1)[rank[starts]], rank[starts]

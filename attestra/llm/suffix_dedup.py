@@ -3,8 +3,8 @@
 Every window of ``length`` bytes has an anchor, its smallest hashed 16-byte gram, so equal windows
 have equal anchors. Windows of one anchor stay together as a piece of text, and an anchor that
 occurs once cannot repeat. Pieces are dealt into shards by anchor; equal pieces are one. Each shard
-builds its suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's walk; windows
-whose prefix with a neighbour in suffix order reaches ``length`` repeat. The pieces of an anchor with
+refines its suffix array (Larsson-Sadakane) up to ``length`` bytes; windows that then share a rank with a
+neighbour in suffix order repeat. The pieces of an anchor with
 more text than a shard holds are texts of their own with anchors of longer grams, and so on up to whole
 windows: each round keeps only what shares a longer string with another piece. What is left then (runs
 of one character) is dealt over several shards; these are merged by fingerprints of their window
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_row, content_key, discard, settle, settle_by, text_or_empty
+from attestra.llm.common import as_row, content_key, discard, settle, settle_by, settle_last, text_or_empty
 from attestra.llm.groups import map_groups
 from attestra.llm.suffix_array import _marked, repeated_starts
 
@@ -499,7 +499,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     if passage is None:
         lost = repeated_text(named, length)
     else:
-        passages = settle(repeated_text(named, passage).select("key", "n_removed", "spans"))
+        # What the shorter windows needed is gone before the search for the longer ones begins.
+        passages = settle_last(lambda: repeated_text(named, passage).select("key", "n_removed", "spans"))
         lost = repeated_within(named, passages, length)
     lost = lost.select("key", "n_removed", "spans", F.sha2("kept", 256).alias("sha"))
     if passages is not None:
