@@ -176,7 +176,7 @@ from d join n on contains(t, p)"""
 def contains_needles(spark, sf):
     """All documents against all benchmark passages."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("phrase"))
-    return needles.find_needles(table(spark, sf, "documents"), items, "doc_id", "text", "needle_id", "phrase")
+    return needles.find_needles(documents(spark, sf), items, "doc_id", "text", "needle_id", "phrase")
 
 
 @query("contains_needles_short", _needles_sql("""
@@ -191,7 +191,7 @@ def contains_needles_short(spark, sf):
         for k in (1, 2, 3)])).alias("n")).select("n.*")
     odd = spark.createDataFrame([(-1, "--"), (-2, None)], items.schema)
     return needles.find_needles(
-        table(spark, sf, "documents"), items.unionAll(odd), "doc_id", "text", "needle_id", "phrase")
+        documents(spark, sf), items.unionAll(odd), "doc_id", "text", "needle_id", "phrase")
 
 
 def context_sql(text, phrase, window=80):
